@@ -154,7 +154,7 @@ def forest(files: DataFrame, seed: int = 7):
     return grow.fit(kept)
 
 
-def scored(chunks: DataFrame, git_files: DataFrame, threshold: float = 0.5, doubt: float = 0.15) -> DataFrame:
+def scored(chunks: DataFrame, git_files: DataFrame, threshold: float = 0.4, doubt: float = 0.15) -> DataFrame:
     """One row per file of either table: (file_id, probability, made, foreign_notice, foreign_path, made_path, found).
 
     ``probability`` is the forest's (null for files without content), ``found`` the
