@@ -2,10 +2,18 @@
 
 from __future__ import annotations
 
-from hewn.llm import doc_pairs, encode, handwritten, sentences, split
+from hewn.llm import doc_pairs, encode, handwritten, leaks, sentences, split, vectors
 from hewn.sources.tables import table
 
 
+def p2_found(spark, d):
+    return vectors.similar_pairs(table(spark, d, "code_embeddings"), table(spark, d, "embedding_cache")).select("a_vec", "b_vec")
+
+
+def p2_most_similar(spark, d):
+    return vectors.most_similar(table(spark, d, "code_embeddings"), table(spark, d, "embedding_cache"))
+
+
 def p3_found(spark, d):
     return handwritten.not_handwritten(table(spark, d, "chunks"), table(spark, d, "git_files"))
 
@@ -30,6 +38,14 @@ def p8_ids(spark, d):
     return encode.encode_corpus(table(spark, d, "documents"))
 
 
+def p9_found(spark, d):
+    return leaks.leaks(table(spark, d, "documents"), table(spark, d, "qa_items")).select("doc_id", "item_id")
+
+
+def p9_coverage(spark, d):
+    return leaks.leaks(table(spark, d, "documents"), table(spark, d, "qa_items"))
+
+
 def p10_found(spark, d):
     docs = table(spark, d, "documents").filter("doc_kind in ('design_note', 'review_thread', 'handbook')")
     return sentences.sentences(docs)
