@@ -2,10 +2,18 @@
 
 from __future__ import annotations
 
-from hewn.llm import doc_pairs, encode, handwritten, leaks, sentences, split, vectors
+from hewn.llm import diverse, doc_pairs, encode, handwritten, leaks, packing, rank_walk, sentences, split, vectors
 from hewn.sources.tables import table
 
 
+#: The configuration whose token budget the packs have, and the size of the varied subset.
+PACK_CONFIG, SUBSET = 16, 500
+
+
+def p1_choice(spark, d):
+    return diverse.choose(table(spark, d, "code_embeddings"), table(spark, d, "chunks"), SUBSET)
+
+
 def p2_found(spark, d):
     return vectors.similar_pairs(table(spark, d, "code_embeddings"), table(spark, d, "embedding_cache")).select("a_vec", "b_vec")
 
@@ -34,6 +42,18 @@ def p5_pairs(spark, d):
     return doc_pairs.pairs(table(spark, d, "chunks"))
 
 
+def p6_packs(spark, d):
+    return packing.pack_chunks(table(spark, d, "chunks"), table(spark, d, "baseline_configs"), PACK_CONFIG)
+
+
+def p7_files(spark, d):
+    return rank_walk.file_ranks(table(spark, d, "git_files"))
+
+
+def p7_runs(spark, d):
+    return rank_walk.run_ranks(table(spark, d, "selection_results"))
+
+
 def p8_ids(spark, d):
     return encode.encode_corpus(table(spark, d, "documents"))
 
