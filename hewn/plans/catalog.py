@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLE_SQL: dict[str, str] = {}
+from hewn.plans import scan
+from hewn.plans.registry import ORACLE_SQL, QUERIES
+
+__all__ = ["FLAGSHIP", "ORACLE_SQL", "QUERIES", "scan"]
 
 
 def FLAGSHIP(spark, d):
-    return spark.read.parquet(f"{d}/lineitem.parquet").groupBy("l_returnflag").count()
+    return QUERIES["a1_scan"](spark, d)
