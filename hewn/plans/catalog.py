@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from hewn.plans import relational, scan
+from hewn.plans import analysis, relational, scan
 from hewn.plans.registry import ORACLE_SQL, QUERIES
 
-__all__ = ["FLAGSHIP", "ORACLE_SQL", "QUERIES", "relational", "scan"]
+__all__ = ["FLAGSHIP", "ORACLE_SQL", "QUERIES", "analysis", "relational", "scan"]
 
 
 def FLAGSHIP(spark, d):
