@@ -18,7 +18,7 @@ from hewn.session import cut
 
 DAMPING, STEPS, TOLERANCE = 0.85, 60, 1e-12
 #: Most (item, score) rows of a group that one task walks; larger groups are walked with distributed prefix sums.
-TASK_ROWS = 300_000
+TASK_ROWS = 1_000_000
 #: Scores beyond this size are taken for faults.
 ABSURD = 1e12
 
@@ -119,7 +119,7 @@ def _wide(src: DataFrame, damping: float, steps: int) -> DataFrame:
         offsets = df.groupBy("score", "block").agg(F.sum(col).alias("t")).withColumn("o", F.coalesce(F.sum("t").over(earlier), F.lit(0))).drop("t")
         return local.join(offsets, ["score", "block"]).withColumn("below", F.col("local") + F.col("o")).drop("local", "o")
 
-    ranked = prefix(blocks, "c").withColumn("h", F.lit(n) - F.col("below") - F.col("c")).select("score", "value", "block", "h")
+    ranked = cut(prefix(blocks, "c").withColumn("h", F.lit(n) - F.col("below") - F.col("c")).select("score", "value", "block", "h"))
     long = cut(full.join(ranked, ["score", "value"]).select("item", "score", "value", "block", "h"))
     pi = items.withColumn("share", F.lit(1.0 / n))
     for _ in range(steps):
@@ -127,7 +127,7 @@ def _wide(src: DataFrame, damping: float, steps: int) -> DataFrame:
         every = ranked.select("score", "value", "block").join(mass, ["score", "block", "value"], "left").withColumn("m", F.coalesce("m", F.lit(0.0)))
         gained = long.join(prefix(every, "m").select("score", "value", "below"), ["score", "value"]).join(pi, "item")
         step = F.sum(F.col("below") + F.when(F.col("h") == 0, F.col("share")).otherwise(0.0)) / len(names)
-        pi = cut(gained.groupBy("item").agg((F.lit((1 - damping) / n) + F.lit(damping) * step).alias("share")))
+        pi = cut(gained.groupBy("item").agg((F.lit((1 - damping) / n) + F.lit(damping) * step).alias("share")), looped=True)
     return pi.select(F.lit(grp).cast(dict(src.dtypes)["grp"]).alias("grp"), "item", "share")
 
 
