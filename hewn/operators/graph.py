@@ -56,7 +56,7 @@ def pagerank(
             new = new + damping * lost / n
         rank = base.join(got, "node", "left").select("node", new.alias("rank"))
         if (step + 1) % CUT_EVERY == 0 or dangling:
-            rank = cut(rank)
+            rank = cut(rank, looped=True)
     return rank
 
 
@@ -89,7 +89,7 @@ def incremental_pagerank(nodes: DataFrame, edges: DataFrame, old: DataFrame, tou
     for _ in range(sweeps):
         got = inward.join(rank.withColumnRenamed("node", "src"), "src").groupBy(F.col("dst").alias("node")).agg(F.sum(F.col("rank") * F.col("w")).alias("got"))
         new = affected.join(got, "node", "left").select("node", ((1 - damping) / n + damping * F.coalesce("got", F.lit(0.0))).alias("new"))
-        rank = cut(rank.join(new, "node", "left").select("node", F.coalesce("new", "rank").alias("rank")))
+        rank = cut(rank.join(new, "node", "left").select("node", F.coalesce("new", "rank").alias("rank")), looped=True)
     return rank
 
 

@@ -42,7 +42,7 @@ def greedy_diverse(items: DataFrame, k: int, kind: str = "mmr", budget: int | No
         pool = pool.join(chosen, F.col("grp").eqNullSafe(F.col("g"))).filter("id != cid")
         pool = pool.select("grp", "id", "quality", "tokens", "vec", F.greatest(s, near).alias("s"), (F.col("used") + F.col("ctok")).alias("used"))
         if step % 4 == 0:
-            pool = cut(pool)
+            pool = cut(pool, looped=True)
     return out if out is not None else items.sparkSession.createDataFrame([], "grp string, id long, step int, gain double")
 
 

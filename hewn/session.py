@@ -30,10 +30,23 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
         spark.sparkContext.setCheckpointDir(named or tempfile.mkdtemp(prefix="hewn-checkpoint-"))
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Writes ``df`` to the shared checkpoint folder and returns it without its lineage."""
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+def cut(df: DataFrame, looped: bool = False) -> DataFrame:
+    """Writes ``df`` to the shared checkpoint folder and returns it without its lineage.
+
+    In a loop the written frame must not hand its plan's inferred constraints
+    on, or they grow with every turn (``looped``).
+    """
+    spark = df.sparkSession
+    ensure_checkpoint_dir(spark)
+    if not looped:
+        return df.checkpoint(eager=True)
+    key = "spark.sql.constraintPropagation.enabled"
+    before = spark.conf.get(key, "true")
+    spark.conf.set(key, "false")
+    try:
+        return df.checkpoint(eager=True)
+    finally:
+        spark.conf.set(key, before)
 
 
 def bounded_batches(spark: SparkSession, max_bytes: int = 16 << 20, max_rows: int = 4096) -> None:
