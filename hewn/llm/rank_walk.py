@@ -16,7 +16,7 @@ from pyspark.sql.window import Window
 
 from hewn.session import cut
 
-DAMPING, STEPS, TOLERANCE = 0.85, 60, 1e-12
+DAMPING, STEPS, TOLERANCE = 0.85, 40, 1e-12
 #: Most (item, score) rows of a group that one task walks; larger groups are walked with distributed prefix sums.
 TASK_ROWS = 1_000_000
 #: Scores beyond this size are taken for faults.
@@ -77,7 +77,7 @@ def rank_walk(long: DataFrame, damping: float = DAMPING, steps: int = STEPS, tas
 
     out = small.groupBy("grp").applyInPandas(run, schema)
     for g in big:
-        out = out.unionByName(_wide(src.filter(F.col("grp").eqNullSafe(F.lit(g))), damping, min(steps, 24)))
+        out = out.unionByName(_wide(src.filter(F.col("grp").eqNullSafe(F.lit(g))), damping, steps))
     return _ranked(out, bool(big))
 
 
