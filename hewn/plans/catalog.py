@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from hewn.plans import analysis, relational, scan
+from hewn.plans import analysis, relational, scan, stateful
 from hewn.plans.registry import ORACLE_SQL, QUERIES
 
-__all__ = ["FLAGSHIP", "ORACLE_SQL", "QUERIES", "analysis", "relational", "scan"]
+__all__ = ["FLAGSHIP", "ORACLE_SQL", "QUERIES", "analysis", "relational", "scan", "stateful"]
 
 
 def FLAGSHIP(spark, d):
-    return QUERIES["a1_scan"](spark, d)
+    return QUERIES["e1_greedy_skip"](spark, d)
