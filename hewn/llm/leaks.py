@@ -101,8 +101,10 @@ class Items:
         self.factors = rng.integers(1, 2**63, MOST_BANDS, dtype=np.uint64) | np.uint64(1)
         self.bands = [self.bands_for(u) for u in SIZES]
         self.tables = []
+        every = np.concatenate(segments) if segments else np.zeros(0, np.uint64)
+        first = np.cumsum([0, *map(len, segments[:-1])])
         for i in range(MOST_BANDS if segments else 0):
-            low = np.array([self.permuted(s, i).min() for s in segments])
+            low = np.minimum.reduceat(self.permuted(every, i), first)
             order = np.argsort(low, kind="stable")
             self.tables.append((low[order], np.array(owner)[order]))
 
