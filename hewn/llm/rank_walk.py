@@ -18,7 +18,7 @@ from hewn.session import cut
 
 DAMPING, STEPS, TOLERANCE = 0.85, 40, 1e-12
 #: Most (item, score) rows of a group that one task walks; larger groups are walked with distributed prefix sums.
-TASK_ROWS = 1_000_000
+TASK_ROWS = 3_000_000
 #: Scores beyond this size are taken for faults.
 ABSURD = 1e12
 
