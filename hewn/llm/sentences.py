@@ -41,6 +41,8 @@ MAYBE = frozenset(
     "etc inc ltd co corp jr sr bros u.s u.k u.n e.u a.m p.m al est dept min max sek usw u.s.w o.ä u.ä "
     "ee.uu etcétera cía s.a т.д т.п др г гг мин сек тыс млн млрд руб म.प्र".split()
 )
+# TITLE: of the above, those that are abbreviations only when capitalised ("Ms. Venn", but "8 ms. The").
+TITLE = frozenset("dr mr mrs ms prof st gen rep sen m mm mme mlle hr sr sra srta sres dra d".split())
 # Words before a German ordinal ("den 91. Abschnitt").
 ORDINAL_LEAD = frozenset("der die das den dem des am im vom zum zur beim ab bis seit nach vor jeder jede jedes jeden jedem".split())
 
@@ -161,7 +163,7 @@ def _ends(p: str, start: int, mark: str, first: int, close: int, emoji: int, nxt
     for known in (_SQUASH.sub("", spaced[1]).lower() if spaced else "", low):
         if known in MAYBE:
             return not _lower_start(p, nxt) or _name_start(p, nxt)
-        if known in ALWAYS:
+        if known in ALWAYS and (known not in TITLE or word[0].isupper()):
             return False
     if low in NUMBER and c.isdigit():
         return False
