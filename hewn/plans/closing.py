@@ -5,10 +5,11 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from hewn.functions import text
+from hewn.functions import paths, text
 from hewn.operators import budget, stats
 from hewn.operators.prefix import position
 from hewn.plans.registry import query
+from hewn.plans.scan import FILES_SQL, files
 from hewn.sources.tables import table
 
 TOK = text.CHUNK_TOKENS_SQL
@@ -112,3 +113,70 @@ def o17_metrics(spark, d):
     t = table(spark, d, "chunks").filter("kind is not null").select(F.lower("kind").isin("class", "main", "function").alias("truth"), (F.coalesce("complexity_score", F.lit(0.0)) >= 5).alias("said"))
     c = t.agg(F.count_if(F.col("truth") & F.col("said")).alias("tp"), F.count_if("said").alias("said"), F.count_if("truth").alias("truth"))
     return c.select("tp", F.round(F.try_divide("tp", "said"), 6).alias("precision"), F.round(F.try_divide("tp", "truth"), 6).alias("recall"), F.round(F.try_divide(2.0 * F.col("tp"), F.col("said") + F.col("truth")), 6).alias("f1"))
+
+
+@query(f"""WITH f AS ({FILES_SQL}) SELECT CASE lower(regexp_extract(path, '\\.([A-Za-z0-9]+)$', 1)) WHEN 'py' THEN 'python' WHEN 'js' THEN 'javascript' WHEN 'ts' THEN 'typescript' WHEN 'go' THEN 'go' WHEN 'rs' THEN 'rust' WHEN 'java' THEN 'java' END AS language,
+ count(*) AS files, count(*) FILTER (WHERE regexp_matches(regexp_extract(lower(path), '([^/]*)$', 1), '^test_.*|.*_test\\.[^.]+$')) AS tests, count(*) FILTER (WHERE regexp_matches(lower(path), 'example|demo|sample|tutorial')) AS examples FROM f GROUP BY 1""")
+def b9_languages(spark, d):
+    name, p = paths.file_name(F.col("path")), F.lower("path")
+    return files(spark, d).groupBy(paths.language(F.col("path")).alias("language")).agg(
+        F.count("*").alias("files"), F.count_if(name.rlike(r"^test_.*|.*_test\.[^.]+$")).alias("tests"), F.count_if(p.rlike(paths.EXAMPLE_PATH)).alias("examples")
+    )
+
+
+@query("""SELECT CASE WHEN regexp_matches(lower(text), 'http|browser|render') THEN 'web' WHEN regexp_matches(lower(text), 'train|model|tensor') THEN 'ml' WHEN regexp_matches(lower(text), 'kernel|memory|lock') THEN 'systems' ELSE 'general' END AS domain,
+ count(*) AS docs, round(avg(length(text)), 6) AS mean_length FROM documents WHERE text IS NOT NULL GROUP BY 1""")
+def b24_domain(spark, d):
+    t = F.lower("text")
+    dom = F.when(t.rlike("http|browser|render"), "web").when(t.rlike("train|model|tensor"), "ml").when(t.rlike("kernel|memory|lock"), "systems").otherwise("general")
+    return table(spark, d, "documents").filter("text is not null").groupBy(dom.alias("domain")).agg(F.count("*").alias("docs"), F.round(F.avg(F.length("text")), 6).alias("mean_length"))
+
+
+@query("""WITH s AS (SELECT DISTINCT unnest(map_keys(chunk_modes)) AS id FROM selection_results), c AS (SELECT id, min(lower(kind)) AS kind FROM chunks WHERE kind IS NOT NULL GROUP BY 1)
+SELECT kind, count(*) AS chunks, count(s.id) AS selected, round(count(s.id) * 1.0 / count(*), 6)::DOUBLE AS recall FROM c LEFT JOIN s USING (id) GROUP BY 1""")
+def d28_content_recall(spark, d):
+    s = table(spark, d, "selection_results").select(F.explode(F.map_keys("chunk_modes")).alias("id")).distinct().withColumn("hit", F.lit(1))
+    c = table(spark, d, "chunks").filter("kind is not null").groupBy("id").agg(F.min(F.lower("kind")).alias("kind"))
+    return c.join(s, "id", "left").groupBy("kind").agg(F.count("*").alias("chunks"), F.count("hit").alias("selected"), F.round(F.count("hit") / F.count("*"), 6).alias("recall"))
+
+
+@query("""SELECT CASE doc_kind WHEN 'readme' THEN 4 WHEN 'handbook' THEN 3 WHEN 'design_note' THEN 3 WHEN 'changelog' THEN 2 ELSE 1 END AS tier, count(*) AS docs, round(avg(coalesce(length(text), 0)), 6) AS mean_length FROM documents GROUP BY 1""")
+def d33_document_tiers(spark, d):
+    k = F.col("doc_kind")
+    tier = F.when(k == "readme", 4).when(k.isin("handbook", "design_note"), 3).when(k == "changelog", 2).otherwise(1)
+    return table(spark, d, "documents").groupBy(tier.alias("tier")).agg(F.count("*").alias("docs"), F.round(F.avg(F.coalesce(F.length("text"), F.lit(0))), 6).alias("mean_length"))
+
+
+@query("""SELECT item_id, len(list_intersect(list_distinct(string_split_regex(lower(question), '[^a-z0-9_]+')), list_distinct(string_split_regex(lower(gold.answer_text), '[^a-z0-9_]+')))) AS common FROM qa_items WHERE question IS NOT NULL AND gold.answer_text IS NOT NULL""")
+def g4_common_terms(spark, d):
+    words = lambda c: F.split(F.lower(c), "[^a-z0-9_]+")
+    q = table(spark, d, "qa_items").filter("question is not null and gold.answer_text is not null")
+    return q.select("item_id", F.size(F.array_intersect(words("question"), words("gold.answer_text"))).cast("long").alias("common"))
+
+
+@query(f"""WITH f AS ({FILES_SQL}) SELECT file_id, round(CAST(CASE WHEN regexp_matches(regexp_extract(lower(path), '([^/]*)$', 1), 'readme') THEN 2.0 ELSE 0 END + CASE WHEN regexp_matches(lower(path), '(^|/)docs?/') THEN 1.0 ELSE 0 END
+ + CASE WHEN regexp_matches(lower(path), '\\.(json|ya?ml|toml)$') THEN 0.3 ELSE 0 END + CASE WHEN len(string_split(path, '/')) <= 2 THEN 0.2 ELSE 0 END AS DOUBLE), 6) AS boost FROM f""")
+def h9_priority_boost(spark, d):
+    p = F.lower("path")
+    one = lambda c, v: F.when(c, v).otherwise(0.0)
+    boost = one(paths.file_name(F.col("path")).rlike("readme"), 2.0) + one(p.rlike("(^|/)docs?/"), 1.0) + one(p.rlike(r"\.(json|ya?ml|toml)$"), 0.3) + one(paths.depth(F.col("path")) <= 2, 0.2)
+    return files(spark, d).select("file_id", F.round(boost, 6).alias("boost"))
+
+
+@query("""
+WITH g AS (SELECT file_id, min(path) AS path, max(change_count) AS n, max(lines_added + lines_deleted) AS changed FROM git_files GROUP BY 1), t AS (SELECT max(n) AS n FROM g)
+SELECT file_id, round(CAST(0.30 * least(1, changed / 500.0) + 0.25 * CASE WHEN regexp_matches(lower(path), 'test|spec') THEN 0.5 WHEN regexp_matches(lower(path), 'doc') THEN 0.3 ELSE 1.0 END + 0.20 * g.n * 1.0 / t.n AS DOUBLE), 6) AS relevance FROM g, t""")
+def h26_change_relevance(spark, d):
+    g = table(spark, d, "git_files").groupBy("file_id").agg(F.min("path").alias("path"), F.max("change_count").alias("n"), F.max(F.col("lines_added") + F.col("lines_deleted")).alias("changed"))
+    p = F.lower("path")
+    role = F.when(p.rlike("test|spec"), 0.5).when(p.rlike("doc"), 0.3).otherwise(1.0)
+    score = 0.30 * F.least(F.lit(1.0), F.col("changed") / 500.0) + 0.25 * role + 0.20 * F.col("n") / F.col("top")
+    return g.crossJoin(g.agg(F.max("n").alias("top"))).select("file_id", F.round(score, 6).alias("relevance"))
+
+
+@query()
+def a15_synthetic_graph(spark, d):
+    """A seeded dependency graph with a skewed in-degree, as large as the files table, made where it is used."""
+    n = files(spark, d).count()
+    u = (F.pmod(F.xxhash64("id", F.lit(11)), F.lit(1_000_003)) + 1) / 1_000_004.0
+    return spark.range(3 * n).select((F.col("id") % max(1, n)).alias("src"), F.floor(F.pow(u, F.lit(3.0)) * n).cast("long").alias("dst")).filter("src <> dst").distinct()
