@@ -55,6 +55,8 @@ CASES = [
     ("هل راجع؟ قرأ د. ورتان الملف.", ["هل راجع؟", "قرأ د. ورتان الملف."]),
     ("ระบบสร้างดัชนี ขีดจำกัดคือ 57 รายการ", ["ระบบสร้างดัชนี", "ขีดจำกัดคือ 57 รายการ"]),
     ("No end mark\n\nNext one. 🚀 Then", ["No end mark", "Next one. 🚀", "Then"]),
+    ("It costs 8.72 ms. A new one took 3 s. Ms. Venn saw it.", ["It costs 8.72 ms.", "A new one took 3 s.", "Ms. Venn saw it."]),
+    ("Am 3. Mai fiel es auf 9. Nur das.", ["Am 3. Mai fiel es auf 9.", "Nur das."]),
     ("line one\nstill one.\n \t\nnew", ["line one\nstill one.", "new"]),
 ]
 
