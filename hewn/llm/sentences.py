@@ -168,7 +168,8 @@ def _ends(p: str, start: int, mark: str, first: int, close: int, emoji: int, nxt
     if low in NUMBER and c.isdigit():
         return False
     if len(word) == 1:
-        if word in FIRST_PART and "." in p[nxt + 1 : nxt + 4]:
+        unit = head[:-1].rstrip()[-1:].isdigit()
+        if word in FIRST_PART and not unit and "." in p[nxt + 1 : nxt + 4]:
             return False
         if word.isupper() and c.isupper():
             before = _WORD_BEFORE.search(head[:-1].rstrip())
