@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -21,7 +23,22 @@ s AS (SELECT a.vec_id AS a, b.vec_id AS b, sum(a.x * b.x) AS dot FROM q a JOIN q
 r AS (SELECT a, b, round(dot / x.n / y.n, 6) AS sim FROM s JOIN n x ON x.vec_id = a JOIN n y ON y.vec_id = b)
 SELECT a AS vec_id, b AS other, sim, place FROM (SELECT *, row_number() OVER (PARTITION BY a ORDER BY sim DESC, b) AS place FROM r) WHERE place <= 5""")
 def c14_knn_exact(spark, d, block: int = 4096):
-    """The five nearest of every twentieth vector among all vectors; the queries are broadcast in blocks of about ``block`` rows."""
+    """The five nearest of every twentieth vector among all vectors; :func:`c14_knn_whole` has as many as the survey asks for."""
+    return _nearest(spark, d, 5, block)
+
+
+@query("""
+WITH q AS (SELECT vec_id, unnest(embedding)::DOUBLE AS x, unnest(range(len(embedding))) AS i FROM embeddings), n AS (SELECT vec_id, sqrt(sum(x * x)) AS n FROM q GROUP BY 1),
+s AS (SELECT a.vec_id AS a, b.vec_id AS b, sum(a.x * b.x) AS dot FROM q a JOIN q b ON a.i = b.i AND a.vec_id <> b.vec_id WHERE a.vec_id % 20 = 0 GROUP BY 1, 2),
+r AS (SELECT a, b, round(dot / x.n / y.n, 6) AS sim FROM s JOIN n x ON x.vec_id = a JOIN n y ON y.vec_id = b), k AS (SELECT greatest(5, least(50, floor(sqrt(count(*))))) AS k FROM embeddings)
+SELECT a AS vec_id, b AS other, sim, place FROM (SELECT *, row_number() OVER (PARTITION BY a ORDER BY sim DESC, b) AS place FROM r), k WHERE place <= k""")
+def c14_knn_whole(spark, d, block: int = 4096):
+    """The k nearest of every twentieth vector among all vectors, k being the root of the row count, at least 5 and at most 50."""
+    return _nearest(spark, d, max(5, min(50, math.isqrt(table(spark, d, "embeddings").count()))), block)
+
+
+def _nearest(spark, d, k: int, block: int):
+    """The queries are broadcast in blocks of about ``block`` rows."""
     v = table(spark, d, "embeddings").select("vec_id", "embedding")
     asked = v.filter("vec_id % 20 = 0")
     parts = -(-asked.count() // block) or 1
@@ -30,7 +47,7 @@ def c14_knn_exact(spark, d, block: int = 4096):
     for p in range(parts):
         mine = asked.filter(F.pmod(F.xxhash64("vec_id"), F.lit(parts)) == p).select("vec_id", F.col("embedding").alias("q"))
         sim = F.broadcast(mine).join(v.select(F.col("vec_id").alias("other"), "embedding"), F.col("vec_id") != F.col("other"))
-        top = sim.select("vec_id", "other", F.round(text.cosine(F.col("q"), F.col("embedding")), 6).alias("sim")).withColumn("place", F.row_number().over(w).cast("long")).filter("place <= 5")
+        top = sim.select("vec_id", "other", F.round(text.cosine(F.col("q"), F.col("embedding")), 6).alias("sim")).withColumn("place", F.row_number().over(w).cast("long")).filter(F.col("place") <= k)
         out = top if out is None else out.unionByName(top)
     return out
 

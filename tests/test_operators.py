@@ -171,3 +171,13 @@ def test_distributions_and_bootstrap(spark):
     again = stats.bootstrap_bca(df.repartition(7), "x", 500).first()
     assert r.n == 200 and r.low < r["mean"] < r.high and r.p_value < 0.01 and math.isclose(r.low, again.low, abs_tol=1e-9)
     assert stats.bootstrap_bca(df.limit(0), "x", 50).count() == 0
+
+
+def test_knn_has_as_many_neighbours_as_the_root_of_the_rows(spark, tmp_path):
+    from hewn.plans import closing
+
+    rng = np.random.default_rng(3)
+    rows = [(i, [float(v) for v in rng.normal(size=8)], 0) for i in range(120)]
+    spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int").write.parquet(str(tmp_path / "embeddings.parquet"))
+    got = closing.c14_knn_whole(spark, str(tmp_path)).groupBy("vec_id").agg(F.max("place").alias("k"), F.count("*").alias("n")).collect()
+    assert {(r.vec_id, r.k, r.n) for r in got} == {(i, 10, 10) for i in range(0, 120, 20)}
