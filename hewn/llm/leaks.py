@@ -3,7 +3,8 @@
 Items are short, documents long, so the question is containment. Documents are
 cut into windows of bounded size, windows are partitioned by their number of
 shingles, and each partition gets as many MinHash bands (of one row) as its
-upper size bound needs to let no containment at the threshold through unseen.
+upper size bound and the fewest shingles that a passage shares at the threshold
+need, so that a containment is missed with a bounded probability.
 Candidates are verified on the exact shingle runs.
 """
 
@@ -24,7 +25,6 @@ from hewn.session import bounded_batches
 #: Words in a run, share of an item's words in runs, shingles of an item segment and of half a window, miss probability of the bands.
 RUN, SHARE, SEGMENT, HALF, MISS = 6, 0.4, 24, 32, 1e-5
 SIZES = (8, 16, 32, 64)
-MOST_BANDS = 320
 #: Most items per pass over the documents; more items take more passes.
 ITEM_BLOCK = 4_000
 _PRIME = np.uint64(0x9E3779B97F4A7C15)
@@ -76,7 +76,7 @@ def _shingles(ids: np.ndarray) -> np.ndarray:
 class Items:
     """The evaluation passages of one block of items, with their band tables."""
 
-    def __init__(self, rows: list[tuple[int, str | None, str | None]], openings: set[str]):
+    def __init__(self, rows: list[tuple[int, str | None, str | None]], openings: set[str], share: float = SHARE):
         self.vocabulary: dict[str, int] = {}
         self.passages: list[tuple[int, np.ndarray, dict[int, list[int]]]] = []
         for item, question, answer in rows:
@@ -91,29 +91,38 @@ class Items:
                     for p, h in enumerate(_shingles(ids).tolist()):
                         at.setdefault(h, []).append(p)
                     self.passages.append((item, ids, at))
-        segments, owner = [], []
+        segments, owner, need = [], [], []
         for k, (_, ids, _) in enumerate(self.passages):
             h = _shingles(ids)
             for lo in range(0, max(1, len(h) - SEGMENT // 2), SEGMENT // 2):
                 segments.append(np.unique(h[lo : lo + SEGMENT]))
                 owner.append(k)
+                need.append([self.bands_for(u, len(segments[-1]), self.fewest(len(ids), share)) for u in SIZES])
         rng = np.random.default_rng(17)
-        self.factors = rng.integers(1, 2**63, MOST_BANDS, dtype=np.uint64) | np.uint64(1)
-        self.bands = [self.bands_for(u) for u in SIZES]
+        self.bands = np.max(need, 0).tolist() if need else [0] * len(SIZES)
+        self.factors = rng.integers(1, 2**63, max(self.bands), dtype=np.uint64) | np.uint64(1)
         self.tables = []
+        # segments in falling order of need, so that a band's table is over the first of them
+        order = sorted(range(len(segments)), key=lambda k: -need[k][-1])
+        segments, owner, most = [segments[k] for k in order], np.array([owner[k] for k in order]), np.array([-need[k][-1] for k in order])
         every = np.concatenate(segments) if segments else np.zeros(0, np.uint64)
-        first = np.cumsum([0, *map(len, segments[:-1])])
-        for i in range(MOST_BANDS if segments else 0):
-            low = np.minimum.reduceat(self.permuted(every, i), first)
+        first = np.cumsum([0, *map(len, segments)])
+        for i in range(max(self.bands)):
+            n = int(np.searchsorted(most, -i))
+            low = np.minimum.reduceat(self.permuted(every[: first[n]], i), first[:n])
             order = np.argsort(low, kind="stable")
-            self.tables.append((low[order], np.array(owner)[order]))
+            self.tables.append((low[order], owner[:n][order]))
 
     @staticmethod
-    def bands_for(upper: int) -> int:
-        """Bands that a window of up to ``upper`` shingles needs, so that two runs of a segment are missed with probability MISS at most."""
-        both = 2.0
-        jaccard = both / (upper + SEGMENT - both)
-        return min(MOST_BANDS, math.ceil(math.log(MISS) / math.log(1 - jaccard)))
+    def fewest(size: int, share: float = SHARE) -> int:
+        """Fewest shingles that cover ``share`` of a passage of ``size`` words."""
+        return max(1, math.ceil(math.ceil(share * size - 1e-9) / RUN))
+
+    @staticmethod
+    def bands_for(upper: int, segment: int = SEGMENT, shared: int = 2) -> int:
+        """Bands that a window of up to ``upper`` shingles needs, so that ``shared`` shingles of a passage, each alone in a segment of ``segment``, are all missed with probability MISS at most."""
+        jaccard = 1 / (upper + segment - 1)
+        return math.ceil(math.log(MISS) / (shared * math.log(1 - jaccard)))
 
     def permuted(self, h: np.ndarray, i: int) -> np.ndarray:
         x = h * self.factors[i]
@@ -197,7 +206,7 @@ def leaks(docs: DataFrame, items: DataFrame, share: float = SHARE, item_block: i
     openings = shared_openings([q for b in blocks for _, q, _ in b])
     out = None
     for b in blocks:
-        known = spark.sparkContext.broadcast(Items(b, openings))
+        known = spark.sparkContext.broadcast(Items(b, openings, share))
         found = src.mapInArrow(_pass(known, share), "doc_id long, item_id long, coverage double")
         out = found if out is None else out.unionByName(found)
     return out

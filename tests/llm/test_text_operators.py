@@ -3,6 +3,7 @@
 import os
 import random
 
+import numpy as np
 import pytest
 
 from hewn.llm import encode, leaks, sentences
@@ -126,3 +127,21 @@ def test_leaks_edges(spark):
     odd = spark.createDataFrame([(1, None, None, "x"), (2, "too short", ("five words are not enough",), "x")], ITEM)
     assert leaks.leaks(docs(spark, ["five words are not enough", None]), odd).count() == 0
     assert leaks.words("A&amp;b\\u00e9 \\\"Q\\\" ﬁne\n12. x") == ["a", "bé", "q", "fine", "x"]
+
+
+def test_one_shared_run_in_full_windows_is_seen():
+    rnd = random.Random(9)
+    some = lambda k: [f"w{rnd.randrange(400)}" for _ in range(k)]
+    passages = [some(12) for _ in range(900)]
+    items = leaks.Items([(i, " ".join(p), None) for i, p in enumerate(passages)], set())
+    texts = [some(10) + p[:6] + some(60) for p in passages]
+    shingles = [leaks._shingles(np.array([items.vocabulary[w] for w in t])) for t in texts]
+    seen = items.candidates(np.concatenate(shingles), np.cumsum([len(h) for h in shingles]))
+    assert [i for i in range(len(passages)) if (i, i) not in seen] == []
+
+
+def test_bands_meet_the_miss_probability():
+    items = leaks.Items([(1, " ".join(f"a{i}" for i in range(15)), None), (2, " ".join(f"b{i}" for i in range(29)), None)], set())
+    for upper, bands in zip(leaks.SIZES, items.bands):
+        assert (1 - 1 / (upper + 10 - 1)) ** bands <= leaks.MISS
+        assert (1 - 2 / (upper + leaks.SEGMENT - 2)) ** bands <= leaks.MISS
