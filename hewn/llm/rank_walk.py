@@ -40,7 +40,7 @@ def walk(ranks: np.ndarray, damping: float = DAMPING, steps: int = STEPS, tolera
         new = (1 - damping) / n + damping * new / scores
         moved = np.abs(new - pi).max()
         pi = new
-        if moved < tolerance:
+        if moved * n < tolerance:
             break
     return pi
 
@@ -83,7 +83,7 @@ def rank_walk(long: DataFrame, damping: float = DAMPING, steps: int = STEPS, tas
 
 def _ranked(shares: DataFrame, wide: bool) -> DataFrame:
     """Ranks by share; where a group may be large, by a range-partitioned sort with offsets instead of one task per group."""
-    rounded = F.round("share", 12)
+    rounded = F.round(F.log("share"), 12)  # twelve digits of the share, whatever the size of the group
     if not wide:
         w = Window.partitionBy("grp").orderBy(F.desc(rounded), "item")
         return shares.withColumn("rank", F.row_number().over(w).cast("long"))

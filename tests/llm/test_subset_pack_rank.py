@@ -141,3 +141,17 @@ def test_file_and_run_ranks(spark):
         "run_id long, pack_id long, config_id int, variant_id string, selection_scores map<string,double>, created_at timestamp",
     )
     assert {(r.pack_id, r.chunk_id): r["rank"] for r in rank_walk.run_ranks(s).collect()} == {(1, "a"): 1, (1, "b"): 2}
+
+
+@pytest.mark.parametrize("wide", [False, True])
+def test_close_shares_of_large_groups_are_no_ties(spark, wide):
+    shares = [(1, "a", 1e-7), (1, "b", 1e-7 * (1 + 1e-6)), (1, "c", 1e-7 * (1 + 1e-15)), (1, "d", 0.2), (1, "e", 0.3)]
+    got = {r.item: r["rank"] for r in rank_walk._ranked(spark.createDataFrame(shares, "grp int, item string, share double"), wide).collect()}
+    assert got == {"e": 1, "d": 2, "b": 3, "a": 4, "c": 5}
+
+
+def test_walk_does_not_stop_early_in_large_groups():
+    rng = np.random.default_rng(8)
+    n = 50_000
+    r = np.stack([rng.permutation(n) + 1 for _ in range(3)], 1)
+    assert np.abs(rank_walk.walk(r) - rank_walk.walk(r, tolerance=0)).max() * n < 1e-10
