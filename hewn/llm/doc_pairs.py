@@ -109,7 +109,7 @@ def pairs(chunks: DataFrame, with_code: bool = True) -> DataFrame:
             d = b.to_pydict()
             rows = []
             for row, file, line, kind, path, language, content, doc in zip(*(d[k] for k in src_names)):
-                if kind in ("import", "variable") or not content:
+                if not content:
                     continue
                 lang = code.family(path, language)
                 if kind == "comment":

@@ -62,6 +62,13 @@ def test_comment_chunk_above_and_copies(spark):
     assert doc_pairs.pairs(spark.createDataFrame([], C)).count() == 0
 
 
+def test_functions_in_variable_and_import_chunks_count(spark):
+    arrow = f"/** {DOC} */\nexport const merge = (a, b) => {{\n  return a;\n}};\n"
+    rows = [chunk(1, arrow, path="x.ts", kind="variable"), chunk(2, f"import os\n\n\n{PY}", kind="Import", file=2), chunk(3, "import os\n", kind="import", doc=DOC, file=3), chunk(4, "LIMIT = 3\n", kind="variable", doc=DOC, file=4)]
+    got = sorted((r.row_id, r.func_name) for r in doc_pairs.pairs(spark.createDataFrame(rows, C)).collect())
+    assert got == [(1, "merge"), (2, "merge")]
+
+
 def test_member_lines():
     text = "class A:\n    def a(self):\n        return '''\n    def no(self): pass\n'''\n\n    # note\n    @dec\n    def b(self):\n        def inner():\n            pass\n        return inner\n"
     assert split.member_lines(text, "python", "Class") == [6]
