@@ -83,7 +83,32 @@ def cliffs_delta(df: DataFrame, value: str, is_treatment: Column) -> DataFrame:
     return n.select("n0", "n1", ((2 * F.col("wins") + F.col("ties") - pairs) / pairs).alias("delta"))
 
 
-def bootstrap_bca(diffs: DataFrame, value: str, rounds: int = 2_000, level: float = 0.95, seed: int = 42) -> DataFrame:
+def kmeans(x: np.ndarray, k: int, starts: int = 10, rounds: int = 300, seed: int = 1) -> np.ndarray:
+    """Clusters of the rows of ``x``: the start of least inertia among ``starts`` seeded k-means++ starts."""
+    best, least = np.zeros(len(x), np.int32), np.inf
+    for start in range(starts):
+        rng = np.random.default_rng([seed, start])
+        c = x[rng.integers(len(x))][None]
+        near = ((x - c[0]) ** 2).sum(1)
+        while len(c) < min(k, len(x)) and near.sum() > 0:
+            c = np.concatenate([c, x[rng.choice(len(x), p=near / near.sum())][None]])
+            near = np.minimum(near, ((x - c[-1]) ** 2).sum(1))
+        own = None
+        for _ in range(rounds):
+            d = (x**2).sum(1)[:, None] - 2 * x @ c.T + (c**2).sum(1)
+            now = d.argmin(1)
+            if own is not None and (now == own).all():
+                break
+            own = now
+            for j in np.unique(own):
+                c[j] = x[own == j].mean(0)
+        inertia = ((x - c[own]) ** 2).sum()
+        if inertia < least:
+            best, least = own.astype(np.int32), inertia
+    return best
+
+
+def bootstrap_bca(diffs: DataFrame, value: str, rounds: int = 10_000, level: float = 0.95, seed: int = 42) -> DataFrame:
     """One row: mean difference, BCa interval and two-sided sign p-value by the Poisson bootstrap.
 
     Each row draws its Poisson weight for every replicate from its own hash, so

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import math
+
+import numpy as np
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -255,14 +258,30 @@ def c15_nearest_centroid(spark, d):
 
 
 @query()
-def k2_kmeans(spark, d):
-    """k-means of the label-free vectors with k = floor(sqrt(n)), at most 50."""
+def k2_kmeans(spark, d, starts: int = 10, task_rows: int = 100_000):
+    """k-means of the vectors of each label with k = floor(sqrt(n)), 2 to 50, as the best of ``starts`` seeded starts; labels of more than ``task_rows`` rows are clustered across tasks."""
     from pyspark.ml.clustering import KMeans
     from pyspark.ml.functions import array_to_vector
 
-    v = table(spark, d, "embeddings").select("vec_id", array_to_vector(F.col("embedding").cast("array<double>")).alias("features"))
-    k = max(2, min(50, int(v.count() ** 0.5)))
-    return KMeans(k=k, seed=1, maxIter=20).fit(v).transform(v).select("vec_id", F.col("prediction").alias("cluster"))
+    v = table(spark, d, "embeddings").select("label", "vec_id", F.col("embedding").cast("array<double>").alias("x"))
+    big = {r["label"]: r["n"] for r in v.groupBy("label").agg(F.count("*").alias("n")).filter(F.col("n") > task_rows).collect()}
+
+    def run(pdf):
+        pdf = pdf.sort_values("vec_id")
+        x = np.stack(pdf["x"].to_numpy())
+        pdf["cluster"] = stats.kmeans(x, max(2, min(50, math.isqrt(len(x)))), starts) if len(x) > 1 else 0
+        return pdf[["label", "vec_id", "cluster"]]
+
+    small = v
+    for label in big:
+        small = small.filter(~F.col("label").eqNullSafe(F.lit(label)))
+    out = small.groupBy("label").applyInPandas(run, f"label {dict(v.dtypes)['label']}, vec_id long, cluster int")
+    for label, n in big.items():
+        mine = v.filter(F.col("label").eqNullSafe(F.lit(label))).select("label", "vec_id", array_to_vector("x").alias("features"))
+        models = [KMeans(k=max(2, min(50, math.isqrt(n))), seed=s, maxIter=300).fit(mine) for s in range(1, starts + 1)]
+        best = min(models, key=lambda m: m.summary.trainingCost)
+        out = out.unionByName(best.transform(mine).select("label", "vec_id", F.col("prediction").alias("cluster")))
+    return out
 
 
 # ---- statistics

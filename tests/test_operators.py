@@ -181,3 +181,26 @@ def test_knn_has_as_many_neighbours_as_the_root_of_the_rows(spark, tmp_path):
     spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int").write.parquet(str(tmp_path / "embeddings.parquet"))
     got = closing.c14_knn_whole(spark, str(tmp_path)).groupBy("vec_id").agg(F.max("place").alias("k"), F.count("*").alias("n")).collect()
     assert {(r.vec_id, r.k, r.n) for r in got} == {(i, 10, 10) for i in range(0, 120, 20)}
+
+
+def test_bootstrap_has_ten_thousand_rounds():
+    import inspect
+
+    assert inspect.signature(stats.bootstrap_bca).parameters["rounds"].default == 10_000
+
+
+def test_kmeans_by_label_is_the_best_of_ten_starts(spark, tmp_path):
+    from hewn.plans import analysis
+
+    rng = np.random.default_rng(4)
+    x = {(label, i): rng.normal(size=4) + 9 * (i % 5) for label in (1, 2) for i in range(60)}
+    rows = [(100 * label + i, [float(u) for u in v], label) for (label, i), v in x.items()] + [(999, [1.0] * 4, 3)]
+    spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int").write.parquet(str(tmp_path / "embeddings.parquet"))
+    one = np.stack([v for (label, _), v in x.items() if label == 1])
+    inertia = lambda c: sum(((one[c == j] - one[c == j].mean(0)) ** 2).sum() for j in np.unique(c))
+    for task_rows in (1000, 50):
+        got = analysis.k2_kmeans(spark, str(tmp_path), task_rows=task_rows).toPandas()
+        assert len(got) == 121 and got.groupby("label")["cluster"].nunique().to_dict() == {1: 7, 2: 7, 3: 1}
+        mine = got[got.label == 1].sort_values("vec_id")["cluster"].to_numpy()
+        if task_rows == 1000:
+            assert inertia(mine) <= min(inertia(stats.kmeans(one.astype(np.float32).astype(float), 7, 1)), 1e9) + 1e-6
