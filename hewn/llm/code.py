@@ -145,11 +145,12 @@ def _block_start(masked: str, line: int) -> int:
         seg = masked[prev : at - 1]
         if _ABOVE.match(seg):
             at = prev
-        elif _CLOSING.match(seg):  # the end of a decorator of several lines
-            back, k = prev, 0
-            while back > 0 and k < 12 and not _DECORATOR.match(masked, back):
-                back, k = masked.rfind("\n", 0, back - 1) + 1, k + 1
-            if not _DECORATOR.match(masked, back):
+        elif _CLOSING.match(seg):  # the end of a decorator of several lines, however many
+            back, depth = prev, seg.count(")") - seg.count("(")
+            while back > 0 and depth > 0:
+                below, back = back, masked.rfind("\n", 0, back - 1) + 1
+                depth += masked.count(")", back, below) - masked.count("(", back, below)
+            if depth or not _DECORATOR.match(masked, back):
                 break
             at = back
         else:

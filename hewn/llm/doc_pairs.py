@@ -3,19 +3,23 @@
 from __future__ import annotations
 
 import re
+from collections import Counter
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from hewn.llm import code
-from hewn.session import bounded_batches, cut
+from hewn.session import bounded_batches
 
 # Words that add nothing to a name, and openings of placeholders, tags and pragmas.
 FILLERS = frozenset("the a an this that function functions method methods to of for and is it helper routine procedure class does do in".split())
 PLACEHOLDER = re.compile(r"(?:todo|tbd|fixme|xxx|n/a|docs? to be added|write docs|no description|placeholder)\b", re.I)
 TAG = re.compile(r"\s*(?:[@:\\]\w+|\{@\w+|noqa\b|eslint|pylint|type:\s*ignore|ts-|tslint|prettier-|nolint|pragma\b|#?region\b|go:\w+|coverage:|istanbul\b|mypy:|flake8)", re.I)
 
+#: A name and its version, as build banners give them.
+BANNER = re.compile(r"[\w./@-]+\s+v?\d+(?:\.\d+)+\S*\Z")
+
 _WORD = re.compile(r"[^\W_]+")
 _UNSPACED = re.compile(r"[぀-ヿ㐀-鿿฀-๿຀-໿က-႟ក-៿豈-﫿]")
 _CAMEL = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+|\d+|[^\W\d_A-Za-z]+")
@@ -45,23 +49,19 @@ def commented_out(text: str) -> bool:
 
 
 def trivial(text: str, name: str) -> bool:
-    """Whether documentation says nothing: blank, placeholder, marks, tags, or the name's own words and fillers."""
+    """Whether documentation says nothing: blank, placeholder, rules and marks, tags, or the name's own words and fillers. Its length alone decides nothing."""
     text = text.strip()
-    if not text or PLACEHOLDER.match(text.lstrip("([{-* ")):
+    if not text or BANNER.match(text) or PLACEHOLDER.match(text.lstrip("([{-*=~#_ ")):
         return True
-    kept = [x for x in text.split("\n") if x.strip() and not TAG.match(x)]
-    body = " ".join(kept)
-    if len(_UNSPACED.findall(body)) >= 6:
+    body = " ".join(x for x in text.split("\n") if x.strip() and not TAG.match(x))
+    if _UNSPACED.search(body):
         return False
-    words = [w.lower() for w in _WORD.findall(body)]
-    if len(words) < 5:
-        return True
     own = {w.lower() for w in _CAMEL.findall(name)} | {name.lower()} | {w.lower() for w in _WORD.findall(name)}
-    return all(w in own or w in FILLERS for w in words)
+    return all(w in own or w in FILLERS for w in (x.lower() for x in _WORD.findall(body)))
 
 
-def documented(content: str, lang: str, docstring: str | None, with_code: bool = True) -> list[tuple]:
-    """(name, description or null, code, whether a comment chunk above may still document it) of every function in ``content``."""
+def documented(content: str, lang: str, docstring: str | None, note: str | None = None, with_code: bool = True) -> list[tuple]:
+    """(name, description, code) of every documented function in ``content``; ``note`` is the comment chunk that ends right above it."""
     text = code.unify(content)
     masked = code.mask(text, lang)
     found = code.functions(text, masked, lang)
@@ -73,7 +73,6 @@ def documented(content: str, lang: str, docstring: str | None, with_code: bool =
             rest = masked[: top[0].start] + masked[top[0].end :]
             if not rest.replace(code.COMMENT, "").strip(" \t\n\r;\f"):
                 single = top[0]
-    first = masked.find("\n", 0)
     for m in found:
         docs = []
         if m is single:
@@ -84,9 +83,25 @@ def documented(content: str, lang: str, docstring: str | None, with_code: bool =
             joined = "\n".join(clean(text[a:b]) for a, b in m.above)
             if not commented_out(joined):
                 docs.append(joined)
+        if note is not None and not masked[: m.start].strip(" \t"):
+            docs.append(note)
         best = next((d.strip() for d in docs if not trivial(d, m.name)), None)
-        out.append((m.name, best, text[m.sig : m.end] if with_code and best is not None else None, best is None and not masked[: m.start].strip(" \t")))
-    return out if first is not None else out
+        if best is not None:
+            out.append((m.name, best, text[m.sig : m.end] if with_code else None))
+    return out
+
+
+def _notes(chunks: DataFrame) -> DataFrame:
+    """(row_id, note) of the chunk rows with a comment chunk of their file on the lines directly above; of several such comments the last ingested."""
+    c = chunks.select(F.col("row_id").cast("long"), F.col("file_id").cast("long"), F.col("start_line").cast("int"), F.lower("kind").alias("kind"), "content", "ingested_at")
+    size = F.col("start_line") + F.size(F.split(F.rtrim("content", F.lit("\r\n")), "\r\n|\r|\n"))
+    comments = (
+        c.filter("kind = 'comment' and content is not null and file_id is not null")
+        .groupBy(F.col("file_id").alias("f"), size.alias("line"))
+        .agg(F.max_by("content", F.struct("ingested_at", "row_id")).alias("note"))
+    )
+    rest = c.filter("kind is null or kind <> 'comment'").select("row_id", "file_id", "start_line").distinct()
+    return rest.join(comments, (F.col("file_id") == F.col("f")) & (F.col("start_line") == F.col("line"))).select("row_id", "note")
 
 
 def pairs(chunks: DataFrame, with_code: bool = True) -> DataFrame:
@@ -96,51 +111,46 @@ def pairs(chunks: DataFrame, with_code: bool = True) -> DataFrame:
     and functions without documentation give no row. Documentation is the
     chunk's ``docstring`` (if the chunk is one single function), the literal
     that opens the body, comments directly above, or a comment chunk of the
-    same file that ends on the line before. Extra columns are not read.
+    same file that ends on the line before (of several the last ingested;
+    ``ingested_at`` may be missing). Only chunks below such a comment are
+    joined; all others go through in one narrow pass. Extra columns are not read.
     """
     bounded_batches(chunks.sparkSession)
-    src = chunks.select(
-        F.col("row_id").cast("long"), F.col("file_id").cast("long"), F.col("start_line").cast("int"), F.lower("kind").alias("kind"),
-        "rel_path", "language", "content", "docstring",
-    )
-
-    def run(batches):
-        for b in batches:
-            d = b.to_pydict()
-            rows = []
-            for row, file, line, kind, path, language, content, doc in zip(*(d[k] for k in src_names)):
-                if not content:
-                    continue
-                lang = code.family(path, language)
-                if kind == "comment":
-                    if file is not None:
-                        rows.append((row, None, clean_block(content), None, file, (line or 0) + code.unify(content.rstrip("\r\n")).count("\n") + 1, True))
-                elif lang:
-                    rows += [(row, n, t, c, file, line, p) for n, t, c, p in documented(content, lang, doc, with_code) if t is not None or p]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows) if rows else [()] * 7, types)], names=names)
-
-    src_names = src.columns
-    names = ["row_id", "func_name", "description", "code", "file_id", "line", "open"]
-    types = [pa.int64(), pa.string(), pa.string(), pa.string(), pa.int64(), pa.int32(), pa.bool_()]
-    scanned = cut(src.mapInArrow(run, "row_id long, func_name string, description string, code string, file_id long, line int, open boolean"))
-    inside = scanned.filter("func_name is not null and description is not null").select("row_id", "func_name", "description", "code")
-    waiting = scanned.filter("func_name is not null and description is null and open").select("row_id", "func_name", "file_id", "line")
-    notes = scanned.filter("func_name is null").select("file_id", "line", "description").distinct()
-
-    @F.pandas_udf("boolean")
-    def says(name, text):
-        return (lambda r: __import__("pandas").Series(r))([not trivial(t, n) and not commented_out(t) for n, t in zip(name, text)])
-
-    above = (
-        waiting.join(notes, ["file_id", "line"])
-        .filter(says("func_name", "description"))
-        .groupBy("row_id", "func_name")
-        .agg(F.min("description").alias("description"))
-        .select("row_id", "func_name", "description", F.lit(None).cast("string").alias("code"))
-    )
-    if with_code:
-        bodies = chunks.select(F.col("row_id").cast("long").alias("row_id"), F.col("content").alias("code"))
-        above = above.drop("code").join(bodies, "row_id")
+    if "ingested_at" not in chunks.columns:
+        chunks = chunks.withColumn("ingested_at", F.lit(None).cast("timestamp"))
+    read = [F.col("row_id").cast("long"), F.lower("kind").alias("kind"), "rel_path", "language", "content", "docstring"]
+    src = chunks.select(*read, F.lit(None).cast("string").alias("note")).filter("kind is null or kind <> 'comment'").filter("length(content) > 0")
+    names = ["row_id", "func_name", "description", "code"]
+    types = [pa.int64(), pa.string(), pa.string(), pa.string()]
+
+    def run(below: bool):
+        def each(batches):
+            for b in batches:
+                rows = []
+                for row, _, path, language, content, doc, note in zip(*b.to_pydict().values()):
+                    lang = code.family(path, language)
+                    if not lang:
+                        continue
+                    if not below:
+                        rows += [(row, *x) for x in documented(content, lang, doc, None, with_code)]
+                        continue
+                    said = clean_block(note)
+                    if not commented_out(said):
+                        # what the chunk itself documents is in the other pass
+                        own = Counter(x[0] for x in documented(content, lang, doc, None, False))
+                        for x in documented(content, lang, doc, said, with_code):
+                            if own[x[0]]:
+                                own[x[0]] -= 1
+                            else:
+                                rows.append((row, *x))
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows) if rows else [()] * 4, types)], names=names)
+
+        return each
+
+    schema = "row_id long, func_name string, description string, code string"
+    inside = src.mapInArrow(run(False), schema)
+    notes = _notes(chunks)
+    above = src.drop("note").join(notes.distinct(), "row_id").select("row_id", "kind", "rel_path", "language", "content", "docstring", "note").mapInArrow(run(True), schema)
     return inside.unionByName(above)
 
 

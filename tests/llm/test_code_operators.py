@@ -1,6 +1,7 @@
 """Documented functions, splitting and generated files."""
 
 import random
+from datetime import datetime
 
 import pytest
 
@@ -37,6 +38,12 @@ EXPECT = [
     (f'#[doc = "{DOC}"]\n#[inline]\npub fn merge<T>(a: &T) -> u8 {{\n    1\n}}\n', "x.rs", "function", None, ["merge"]),
     (f"/// {DOC}\n@Override\npublic static <T> List<T> merge(List<T> a) throws E {{\n    return a;\n}}\n", "X.java", "method", None, ["merge"]),
     ("// if (a > b) {\n//     return merge(a, b, c, d);\n// }\nfunction merge(a) {\n  return a;\n}\n", "x.js", "function", None, []),
+    ('def load(path):\n    """Parses config files."""\n', "x.py", "function", None, ["load"]),
+    ("/** Adds two matrices elementwise */\nexport const add = (a, b) => {\n  return a;\n};\n", "x.ts", "function", None, ["add"]),
+    ('def user_id(a):\n    """Returns the user id."""\n', "x.py", "function", None, ["user_id"]),
+    ('def user_id(a):\n    """The user id."""\n', "x.py", "function", None, []),
+    ("# ----------\ndef merge(a):\n    return a\n", "x.py", "function", None, []),
+    ("/*! digest v2.13.6 */\nfunction v(a) {\n  return a;\n}\n", "x.js", "function", None, []),
     (None, "x.py", "function", DOC, []),
     ("", "x.py", "function", DOC, []),
 ]
@@ -44,7 +51,7 @@ EXPECT = [
 
 @pytest.mark.parametrize("content,path,kind,doc,want", EXPECT)
 def test_documented(content, path, kind, doc, want):
-    got = [n for n, t, _, _ in doc_pairs.documented(content, code.family(path, None), doc) if t] if content else []
+    got = [n for n, t, _ in doc_pairs.documented(content, code.family(path, None), doc) if t] if content else []
     assert got == want
 
 
@@ -58,7 +65,7 @@ def test_comment_chunk_above_and_copies(spark):
     got = sorted((r.row_id, r.func_name) for r in doc_pairs.pairs(df, with_code=False).collect())
     assert got == [(2, "merge"), (3, "merge"), (6, "merge")]
     full = {r.row_id: (r.description, r.code) for r in doc_pairs.pairs(df).collect()}
-    assert full[6] == (DOC, PY.rstrip("\n")) and full[2] == (DOC, body)
+    assert full[6] == (DOC, PY.rstrip("\n")) and full[2] == (DOC, body.rstrip("\n"))  # the function, not the chunk
     assert doc_pairs.pairs(spark.createDataFrame([], C)).count() == 0
 
 
@@ -69,6 +76,18 @@ def test_functions_in_variable_and_import_chunks_count(spark):
     assert got == [(1, "merge"), (2, "merge")]
 
 
+def test_note_above_gives_the_function_only_and_the_last_note_counts(spark):
+    two = "def merge(a):\n    return a\n\n\ndef other(a):\n    return 1\n"
+    rows = [(*chunk(1, "# An older note on merging parts.", kind="comment", start=9), 1), (*chunk(2, f"# {DOC}", kind="comment", start=9), 2), (*chunk(3, two), 3)]
+    df = spark.createDataFrame([(*r[:-1], datetime(2024, 1, r[-1])) for r in rows], C + ", ingested_at timestamp")
+    assert [(r.row_id, r.func_name, r.description, r.code) for r in doc_pairs.pairs(df).collect()] == [(3, "merge", DOC, "def merge(a):\n    return a")]
+
+
+def test_decorator_of_many_lines():
+    text = "import os\n\n\n@register(\n" + "".join(f"    option_{i}={i},\n" for i in range(40)) + ")\ndef first():\n    pass\n\n\ncall(\n    1,\n)\ndef second():\n    pass\n"
+    assert split.member_lines("def zero():\n    pass\n\n\n" + text, "python", "unknown") == [7, 51]
+
+
 def test_member_lines():
     text = "class A:\n    def a(self):\n        return '''\n    def no(self): pass\n'''\n\n    # note\n    @dec\n    def b(self):\n        def inner():\n            pass\n        return inner\n"
     assert split.member_lines(text, "python", "Class") == [6]
