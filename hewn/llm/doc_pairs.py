@@ -87,7 +87,7 @@ def documented(content: str, lang: str, docstring: str | None, note: str | None
             docs.append(note)
         best = next((d.strip() for d in docs if not trivial(d, m.name)), None)
         if best is not None:
-            out.append((m.name, best, text[m.sig : m.end] if with_code else None))
+            out.append((m.name, best, text[m.sig : m.end].rstrip() if with_code else None))
     return out
 
 
