@@ -161,12 +161,14 @@ def _block_start(masked: str, line: int) -> int:
 _PRE_PART = regex.compile(r"\x01++|#!?\[[^\]]*+\]")
 
 
-def functions(text: str, masked: str, lang: str) -> list[Member]:
-    """Every function and method that begins a line, in order; nested ones as well, those in strings not."""
+def functions(text: str, masked: str, lang: str, top: bool = False) -> list[Member]:
+    """Every function and method that begins a line, in order; nested ones as well, those in strings not. With ``top`` only one that nothing but blanks comes before."""
     out = []
     for c in _CANDIDATE[lang].finditer(masked):
         line = c.start()
         start = _block_start(masked, line)
+        if top and (out or masked[:start].strip(" \t")):
+            break
         m = None
         for p in _PATTERN[lang] if lang != "js" else (_PATTERN["js"][int(c.lastgroup[1])],):
             for at in (start, line) if start != line else (line,):

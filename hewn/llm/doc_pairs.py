@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import re
-from collections import Counter
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -60,20 +59,23 @@ def trivial(text: str, name: str) -> bool:
     return all(w in own or w in FILLERS for w in (x.lower() for x in _WORD.findall(body)))
 
 
-def documented(content: str, lang: str, docstring: str | None, note: str | None = None, with_code: bool = True) -> list[tuple]:
-    """(name, description, code) of every documented function in ``content``; ``note`` is the comment chunk that ends right above it."""
+def documented(content: str, lang: str, docstring: str | None, with_code: bool = True, top: bool = False) -> list[tuple]:
+    """(name, description or null, code) of every documented function in ``content``; with ``top`` of the function that opens it, if that has no documentation of its own."""
     text = code.unify(content)
     masked = code.mask(text, lang)
-    found = code.functions(text, masked, lang)
+    said = bool(docstring and docstring.strip())
+    found = code.functions(text, masked, lang, top and not said)
     out = []
     single = None
-    if found and docstring and docstring.strip():
-        top = code.outermost(found)
-        if len(top) == 1:
-            rest = masked[: top[0].start] + masked[top[0].end :]
+    if found and said:
+        outer = code.outermost(found)
+        if len(outer) == 1:
+            rest = masked[: outer[0].start] + masked[outer[0].end :]
             if not rest.replace(code.COMMENT, "").strip(" \t\n\r;\f"):
-                single = top[0]
+                single = outer[0]
     for m in found:
+        if top and masked[: m.start].strip(" \t"):
+            break
         docs = []
         if m is single:
             docs.append(docstring)
@@ -83,21 +85,19 @@ def documented(content: str, lang: str, docstring: str | None, note: str | None
             joined = "\n".join(clean(text[a:b]) for a, b in m.above)
             if not commented_out(joined):
                 docs.append(joined)
-        if note is not None and not masked[: m.start].strip(" \t"):
-            docs.append(note)
         best = next((d.strip() for d in docs if not trivial(d, m.name)), None)
-        if best is not None:
+        if (best is None) == top:
             out.append((m.name, best, text[m.sig : m.end].rstrip() if with_code else None))
     return out
 
 
 def _notes(chunks: DataFrame) -> DataFrame:
-    """(row_id, note) of the chunk rows with a comment chunk of their file on the lines directly above; of several such comments the last ingested."""
+    """(row_id, note) of the chunk rows with a comment chunk of their file on the lines directly above; of several such comments the last ingested. No content but the comments' is shuffled."""
     c = chunks.select(F.col("row_id").cast("long"), F.col("file_id").cast("long"), F.col("start_line").cast("int"), F.lower("kind").alias("kind"), "content", "ingested_at")
-    size = F.col("start_line") + F.size(F.split(F.rtrim("content", F.lit("\r\n")), "\r\n|\r|\n"))
+    after = F.col("start_line") + F.size(F.split(F.rtrim("content", F.lit("\r\n")), "\r\n|\r|\n"))
     comments = (
         c.filter("kind = 'comment' and content is not null and file_id is not null")
-        .groupBy(F.col("file_id").alias("f"), size.alias("line"))
+        .groupBy(F.col("file_id").alias("f"), after.alias("line"))
         .agg(F.max_by("content", F.struct("ingested_at", "row_id")).alias("note"))
     )
     rest = c.filter("kind is null or kind <> 'comment'").select("row_id", "file_id", "start_line").distinct()
@@ -112,45 +112,39 @@ def pairs(chunks: DataFrame, with_code: bool = True) -> DataFrame:
     chunk's ``docstring`` (if the chunk is one single function), the literal
     that opens the body, comments directly above, or a comment chunk of the
     same file that ends on the line before (of several the last ingested;
-    ``ingested_at`` may be missing). Only chunks below such a comment are
-    joined; all others go through in one narrow pass. Extra columns are not read.
+    ``ingested_at`` may be missing). Documented functions come out of one narrow
+    pass; only undocumented ones that open their chunk are joined with comments. Extra columns are not read.
     """
     bounded_batches(chunks.sparkSession)
     if "ingested_at" not in chunks.columns:
         chunks = chunks.withColumn("ingested_at", F.lit(None).cast("timestamp"))
-    read = [F.col("row_id").cast("long"), F.lower("kind").alias("kind"), "rel_path", "language", "content", "docstring"]
-    src = chunks.select(*read, F.lit(None).cast("string").alias("note")).filter("kind is null or kind <> 'comment'").filter("length(content) > 0")
+    src = chunks.filter("kind is null or lower(kind) <> 'comment'").filter("length(content) > 0").select(F.col("row_id").cast("long"), "rel_path", "language", "content", "docstring")
     names = ["row_id", "func_name", "description", "code"]
     types = [pa.int64(), pa.string(), pa.string(), pa.string()]
 
-    def run(below: bool):
+    def run(top: bool):
         def each(batches):
             for b in batches:
                 rows = []
-                for row, _, path, language, content, doc, note in zip(*b.to_pydict().values()):
+                for row, path, language, content, doc in zip(*b.to_pydict().values()):
                     lang = code.family(path, language)
-                    if not lang:
-                        continue
-                    if not below:
-                        rows += [(row, *x) for x in documented(content, lang, doc, None, with_code)]
-                        continue
-                    said = clean_block(note)
-                    if not commented_out(said):
-                        # what the chunk itself documents is in the other pass
-                        own = Counter(x[0] for x in documented(content, lang, doc, None, False))
-                        for x in documented(content, lang, doc, said, with_code):
-                            if own[x[0]]:
-                                own[x[0]] -= 1
-                            else:
-                                rows.append((row, *x))
+                    if lang:
+                        rows += [(row, *x) for x in documented(content, lang, doc, with_code, top)]
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows) if rows else [()] * 4, types)], names=names)
 
         return each
 
+    @F.pandas_udf("string")
+    def said(name, note):
+        import pandas as pd
+
+        texts = [clean_block(t) for t in note]
+        return pd.Series([None if trivial(t, n) or commented_out(t) else t for n, t in zip(name, texts)], dtype=object)
+
     schema = "row_id long, func_name string, description string, code string"
     inside = src.mapInArrow(run(False), schema)
-    notes = _notes(chunks)
-    above = src.drop("note").join(notes.distinct(), "row_id").select("row_id", "kind", "rel_path", "language", "content", "docstring", "note").mapInArrow(run(True), schema)
+    opening = src.mapInArrow(run(True), schema).drop("description")
+    above = opening.join(_notes(chunks), "row_id").select("row_id", "func_name", said("func_name", "note").alias("description"), "code").filter("description is not null")
     return inside.unionByName(above)
 
 
