@@ -20,28 +20,31 @@ from hewn.session import cut
 
 #: Rows of a nominating partition, and candidates of the final pass.
 PART_ROWS, FINAL_ROWS = 2_048, 4_096
-MOST = 1_024
 
 
 def lazy_greedy(x: np.ndarray, mass: np.ndarray, k: int) -> tuple[list[int], list[float], np.ndarray]:
-    """Chosen rows, their gains, and the chosen row that stands for each row, under f(S) = sum_i mass_i max_{j in S} max(0, x_i x_j); n is at most a few thousand."""
+    """Chosen rows, their gains, and the chosen row that stands for each row, under f(S) = sum_i mass_i max_{j in S} max(0, x_i x_j). Similarities of more than FINAL_ROWS rows are computed row by row as they are asked for."""
     n = len(x)
     best, by = np.zeros(n, np.float32), np.full(n, -1)
-    sim = x @ x.T
-    np.maximum(sim, 0, out=sim)
     weight = mass.astype(np.float32)
-    heap = [(-g, i) for i, g in enumerate((sim @ weight).tolist())]
+    if n <= FINAL_ROWS:
+        whole = np.maximum(x @ x.T, 0)
+        row, first = whole.__getitem__, whole @ weight
+    else:
+        row = lambda i: np.maximum(x @ x[i], 0)
+        first = np.concatenate([np.maximum(x[lo : lo + 1024] @ x.T, 0) @ weight for lo in range(0, n, 1024)])
+    heap = [(-g, i) for i, g in enumerate(first.tolist())]
     heapq.heapify(heap)
     fresh = np.zeros(n, np.int64)
     chosen, gains = [], []
     while heap and len(chosen) < min(k, n):
         gain, i = heapq.heappop(heap)
         if fresh[i] < len(chosen):
-            now = float(weight @ np.maximum(sim[i] - best, 0))
+            now = float(weight @ np.maximum(row(i) - best, 0))
             fresh[i] = len(chosen)
             heapq.heappush(heap, (-now, i))
             continue
-        s = sim[i]
+        s = row(i)
         better = (s > best) | (by < 0)
         by[better] = len(chosen)
         best = np.maximum(best, s)
@@ -67,10 +70,11 @@ def choose(embeddings: DataFrame, chunks: DataFrame, size: int = 500) -> DataFra
     take most places; rows without a chunk or kind form a kind of their own.
     Ties go to the lower ``vec_id``. ``diversity_score`` is one minus the mean
     similarity of the chosen pairs. Fewer valid vectors than ``size`` are all
-    chosen; an empty table gives no rows.
+    chosen; an empty table gives no rows. A task holds at most FINAL_ROWS or four
+    times ``size`` rows, so the memory of the final pass follows the asked size alone.
     """
-    if not 0 < size <= MOST:
-        raise ValueError(f"size must be between 1 and {MOST}")
+    if size < 1:
+        raise ValueError("size must be positive")
     spark = embeddings.sparkSession
     none = spark.createDataFrame([], "vec_id long, content_sha string, embedding_dimension int, embedding_data binary, model_name string, model_version string")
     valid = valid_vectors(embeddings.select("vec_id", "content_sha", "embedding", "model_name", "model_version"), none).drop("sha")
@@ -115,7 +119,7 @@ def choose(embeddings: DataFrame, chunks: DataFrame, size: int = 500) -> DataFra
         )
 
     n, level = sum(r["count"] for r in rows.groupBy().count().collect()), 0
-    while n > FINAL_ROWS:
+    while n > max(FINAL_ROWS, 4 * size):
         parts = -(-n // max(PART_ROWS, 4 * size))
         pool = cut(pool.withColumn("part", F.pmod(F.xxhash64("vec_id", F.lit(level)), F.lit(parts))).groupBy("part").applyInArrow(_by_columns(nominate), schema))
         n, level = pool.count(), level + 1

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from hewn.llm import code
-from hewn.session import bounded_batches
+from hewn.session import bounded_batches, cut
 
 # Words that add nothing to a name, and openings of placeholders, tags and pragmas.
 FILLERS = frozenset("the a an this that function functions method methods to of for and is it helper routine procedure class does do in".split())
@@ -59,23 +59,20 @@ def trivial(text: str, name: str) -> bool:
     return all(w in own or w in FILLERS for w in (x.lower() for x in _WORD.findall(body)))
 
 
-def documented(content: str, lang: str, docstring: str | None, with_code: bool = True, top: bool = False) -> list[tuple]:
-    """(name, description or null, code) of every documented function in ``content``; with ``top`` of the function that opens it, if that has no documentation of its own."""
+def documented(content: str, lang: str, docstring: str | None, with_code: bool = True) -> list[tuple]:
+    """(name, description, code) of every documented function in ``content``, and with null as description of the function that opens it if that has no documentation."""
     text = code.unify(content)
     masked = code.mask(text, lang)
-    said = bool(docstring and docstring.strip())
-    found = code.functions(text, masked, lang, top and not said)
+    found = code.functions(text, masked, lang)
     out = []
     single = None
-    if found and said:
+    if found and docstring and docstring.strip():
         outer = code.outermost(found)
         if len(outer) == 1:
             rest = masked[: outer[0].start] + masked[outer[0].end :]
             if not rest.replace(code.COMMENT, "").strip(" \t\n\r;\f"):
                 single = outer[0]
     for m in found:
-        if top and masked[: m.start].strip(" \t"):
-            break
         docs = []
         if m is single:
             docs.append(docstring)
@@ -86,7 +83,7 @@ def documented(content: str, lang: str, docstring: str | None, with_code: bool =
             if not commented_out(joined):
                 docs.append(joined)
         best = next((d.strip() for d in docs if not trivial(d, m.name)), None)
-        if (best is None) == top:
+        if best is not None or not masked[: m.start].strip(" \t"):
             out.append((m.name, best, text[m.sig : m.end].rstrip() if with_code else None))
     return out
 
@@ -112,8 +109,9 @@ def pairs(chunks: DataFrame, with_code: bool = True) -> DataFrame:
     chunk's ``docstring`` (if the chunk is one single function), the literal
     that opens the body, comments directly above, or a comment chunk of the
     same file that ends on the line before (of several the last ingested;
-    ``ingested_at`` may be missing). Documented functions come out of one narrow
-    pass; only undocumented ones that open their chunk are joined with comments. Extra columns are not read.
+    ``ingested_at`` may be missing). Only undocumented functions that open their
+    chunk are joined with comments. Contents are read in one narrow pass whose names are
+    kept; with code they are read once more instead, so that no code is written. Extra columns are not read.
     """
     bounded_batches(chunks.sparkSession)
     if "ingested_at" not in chunks.columns:
@@ -122,17 +120,14 @@ def pairs(chunks: DataFrame, with_code: bool = True) -> DataFrame:
     names = ["row_id", "func_name", "description", "code"]
     types = [pa.int64(), pa.string(), pa.string(), pa.string()]
 
-    def run(top: bool):
-        def each(batches):
-            for b in batches:
-                rows = []
-                for row, path, language, content, doc in zip(*b.to_pydict().values()):
-                    lang = code.family(path, language)
-                    if lang:
-                        rows += [(row, *x) for x in documented(content, lang, doc, with_code, top)]
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows) if rows else [()] * 4, types)], names=names)
-
-        return each
+    def run(batches):
+        for b in batches:
+            rows = []
+            for row, path, language, content, doc in zip(*b.to_pydict().values()):
+                lang = code.family(path, language)
+                if lang:
+                    rows += [(row, *x) for x in documented(content, lang, doc, with_code)]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows) if rows else [()] * 4, types)], names=names)
 
     @F.pandas_udf("string")
     def said(name, note):
@@ -141,9 +136,11 @@ def pairs(chunks: DataFrame, with_code: bool = True) -> DataFrame:
         texts = [clean_block(t) for t in note]
         return pd.Series([None if trivial(t, n) or commented_out(t) else t for n, t in zip(name, texts)], dtype=object)
 
-    schema = "row_id long, func_name string, description string, code string"
-    inside = src.mapInArrow(run(False), schema)
-    opening = src.mapInArrow(run(True), schema).drop("description")
+    scanned = src.mapInArrow(run, "row_id long, func_name string, description string, code string")
+    if not with_code:
+        scanned = cut(scanned)
+    inside = scanned.filter("description is not null")
+    opening = scanned.filter("description is null").drop("description")
     above = opening.join(_notes(chunks), "row_id").select("row_id", "func_name", said("func_name", "note").alias("description"), "code").filter("description is not null")
     return inside.unionByName(above)
 

@@ -27,17 +27,25 @@ MAX_LABELLED = 50_000
 
 # Notices (Java and Python regex), for the first lines of a file.
 GENERATED_NOTICE = (
-    r"(?i)code generated by\b|\bauto-?generated (?:file|by|from|code)\b|@generated\b|generated (?:source|file|code)\b.*do not|machine-made from"
-    r"|generated from the .{0,60}(?:grammar|schema|template)|(?:produced|generated|created) automatically|automatically (?:generated|produced|created)"
+    r"(?i)code generated by\b|\bauto-?generated (?:file|by|from|code)\b|@generated\b|generated (?:source|file|code)\b.*do not|\bmachine[- ](?:made|generated|written)\b"
+    r"|generated from (?:the|a) .{0,60}(?:grammar|schema|template|specification|definition)|(?:produced|generated|created) automatically|automatically (?:generated|produced|created)"
     r"|automatisch (?:erzeugt|generiert)|généré automatiquement|generado automáticamente|do not (?:hand-?)?(?:edit|modify)\b|自動生成|自动生成"
 )
 BANNER = r"^\s*/\*! \S+ v\d+(?:\.\d+)+ \*/\s*$"
-DATA_NOTICE = r"(?i)^\W*(?:icons and lookup values|lookup tables?|embedded (?:data|assets?|fonts?|icons?)) for\b"
+_ASSET = r"(?:icons?|fonts?|glyphs?|sprites?|images?|assets?|data|tables?|lookup \w+)"
+DATA_NOTICE = rf"(?i)^\W*(?:(?:embedded|packed|encoded|inlined) )?{_ASSET}(?:(?:, | and ){_ASSET})* for\b"
 FOREIGN_NOTICE = (
-    r"(?i)^\W*vendored (?:from|copy)\b|copied verbatim from|third-party source|^\W*upstream: .*without changes|\bsee upstream for the licen[cs]e"
-    r"|imported (?:verbatim|unchanged) from|aus dem projekt .* übernommen"
+    r"(?i)^\W*vendored (?:from|copy)\b|copied (?:verbatim|unchanged) from|third-party source|^\W*upstream: .*without changes|\bsee upstream for the licen[cs]e"
+    r"|imported (?:verbatim|unchanged) from|\b(?:aus|von) .{1,60} (?:übernommen|kopiert)|\b(?:copié|repris) (?:de|du)\b|\b(?:copiado|tomado) (?:de|del)\b"
 )
-HAND_NOTICE = r"(?i)nothing in it is generated|written by hand|ideas taken from|reports that are generated|spdx-license|^\W*copyright \d{4} the"
+HAND_NOTICE = (
+    r"(?i)\bnot (?:auto-?)?generated\b|\b(?:nothing|none|no part)\b.{0,20}\bgenerated\b|\bwritten by hand\b|\bhand-?written\b|\bideas? (?:\w+ )?from\b|\binspired by\b"
+    r"|\b\w+ that (?:is|are|get) generated\b|spdx-license|^\W*copyright \d{4} the"
+)
+#: Lines of a file that may hold its header notice: a chunk's leading comment is a header if the chunk begins there.
+HEAD_LINES = 12
+#: Code points that a labelled file must have; shorter ones teach nothing about content.
+LABEL_TEXT = 60
 
 # Directories of foreign code and endings of generated files, on lower-case paths with forward slashes.
 FOREIGN_PATH = r"(?:^|/)(?:node_modules|bower_components|jspm_packages|vendor|vendored|_vendor|third_party|thirdparty|third-party|pods|extern|external_libs|site-packages)/"
@@ -113,7 +121,7 @@ def file_features(chunks: DataFrame) -> DataFrame:
                     continue
                 content = (content or "").replace("\r\n", "\n").replace("\r", "\n")
                 head = ""
-                if (line or 0) <= 12:
+                if (line or 0) <= HEAD_LINES:
                     m = _LEADING.match(content)
                     head = m[0] if m else ""
                 said = [int(bool(head and x.search(head))) for x in notices]
@@ -134,7 +142,7 @@ def file_features(chunks: DataFrame) -> DataFrame:
 def labelled(files: DataFrame, bound: int = MAX_LABELLED) -> DataFrame:
     """Files whose first lines say how they were made: 1 by a tool, 0 by hand; at most about ``bound`` of them, chosen by hash."""
     made = F.col("generated") | F.col("banner") | F.col("data")
-    rows = files.filter("weight >= 60").withColumn("label", F.when(made, 1.0).when(F.col("hand") & ~F.col("foreign"), 0.0)).filter("label is not null")
+    rows = files.filter(F.col("weight") >= LABEL_TEXT).withColumn("label", F.when(made, 1.0).when(F.col("hand") & ~F.col("foreign"), 0.0)).filter("label is not null")
     n = rows.count()
     return rows if n <= bound else rows.filter(F.pmod(F.xxhash64("file_id"), F.lit(1_000_000)) < int(1_000_000 * bound / n))
 
@@ -154,7 +162,26 @@ def forest(files: DataFrame, seed: int = 7):
     return grow.fit(kept)
 
 
-def scored(chunks: DataFrame, git_files: DataFrame, threshold: float = 0.4, doubt: float = 0.15) -> DataFrame:
+#: Probability from which the forest alone calls a file not written by hand, and below which a generated file's path is not believed.
+THRESHOLD, DOUBT = 0.4, 0.15
+
+
+def by_forest(files: DataFrame) -> DataFrame:
+    """``files`` with the forest's ``probability``: null for files without content, and for all where labels of both classes are lacking."""
+    model = forest(files)
+    if model is None:
+        return files.withColumn("probability", F.lit(None).cast("double"))
+    vectors = VectorAssembler(inputCols=FEATURES, outputCol="features")
+    return model.transform(vectors.transform(files)).withColumn("probability", F.when(F.col("weight") > 0, vector_to_array("probability")[1]))
+
+
+def forest_verdicts(chunks: DataFrame) -> DataFrame:
+    """(file_id, probability, by_tool) of every file with a chunk by the forest alone; files without content have null for both. Empty tables give no rows."""
+    by = by_forest(cut(file_features(chunks)))
+    return by.select("file_id", "probability", (F.col("probability") >= THRESHOLD).alias("by_tool"))
+
+
+def scored(chunks: DataFrame, git_files: DataFrame, threshold: float = THRESHOLD, doubt: float = DOUBT) -> DataFrame:
     """One row per file of either table: (file_id, probability, made, foreign_notice, foreign_path, made_path, found).
 
     ``probability`` is the forest's (null for files without content), ``found`` the
@@ -171,12 +198,7 @@ def scored(chunks: DataFrame, git_files: DataFrame, threshold: float = 0.4, doub
         .groupBy("file_id")
         .agg(F.max(F.col("path").rlike(FOREIGN_PATH)).alias("foreign_path"), F.max(F.col("path").rlike(GENERATED_PATH)).alias("made_path"))
     )
-    model = forest(files)
-    if model is None:
-        by = files.withColumn("probability", F.lit(None).cast("double"))
-    else:
-        vectors = VectorAssembler(inputCols=FEATURES, outputCol="features")
-        by = model.transform(vectors.transform(files)).withColumn("probability", F.when(F.col("weight") >= 60, vector_to_array("probability")[1]))
+    by = by_forest(files)
     out = paths.join(by, "file_id", "left")
     made = F.coalesce(F.col("generated") | F.col("banner") | F.col("data"), F.lit(False))
     foreign = F.coalesce(F.col("foreign"), F.lit(False))

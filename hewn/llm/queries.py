@@ -22,10 +22,20 @@ def p2_most_similar(spark, d):
     return vectors.most_similar(table(spark, d, "code_embeddings"), table(spark, d, "embedding_cache"))
 
 
+def p3_method(spark, d):
+    """The forest alone over all files: copied code reads like any other and files without chunks have no content, so it can't give all rows of p3_found."""
+    return handwritten.forest_verdicts(table(spark, d, "chunks"))
+
+
 def p3_found(spark, d):
     return handwritten.not_handwritten(table(spark, d, "chunks"), table(spark, d, "git_files"))
 
 
+def p4_method(spark, d):
+    """The merging alone over all chunks: it keeps only boundaries that it needs as cuts, so it can't give the start of every member."""
+    return split.split_chunks(table(spark, d, "chunks")).drop("piece_text")
+
+
 def p4_found(spark, d):
     return split.boundaries(table(spark, d, "chunks"))
 

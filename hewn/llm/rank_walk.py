@@ -16,14 +16,14 @@ from pyspark.sql.window import Window
 
 from hewn.session import cut
 
-DAMPING, STEPS, TOLERANCE = 0.85, 40, 1e-12
-#: Most (item, score) rows of a group that one task walks; larger groups are walked with distributed prefix sums.
-TASK_ROWS = 3_000_000
+DAMPING, STEPS = 0.85, 40
+#: Most (item, score) rows of a group that one task walks; larger groups are walked with distributed prefix sums, by the same steps.
+TASK_ROWS = 500_000
 #: Scores beyond this size are taken for faults.
 ABSURD = 1e12
 
 
-def walk(ranks: np.ndarray, damping: float = DAMPING, steps: int = STEPS, tolerance: float = TOLERANCE) -> np.ndarray:
+def walk(ranks: np.ndarray, damping: float = DAMPING, steps: int = STEPS) -> np.ndarray:
     """Stationary shares of n items from dense ranks (n, scores), a higher rank being better and 0 meaning no score."""
     n, scores = ranks.shape
     pi = np.full(n, 1.0 / n)
@@ -37,11 +37,7 @@ def walk(ranks: np.ndarray, damping: float = DAMPING, steps: int = STEPS, tolera
             mass = np.bincount(r, weights=np.where(h > 0, pi / np.maximum(h, 1), 0.0), minlength=len(counts[s]))
             below = np.concatenate([[0.0], np.cumsum(mass)[:-1]])
             new += below[r] + np.where(h == 0, pi, 0.0)
-        new = (1 - damping) / n + damping * new / scores
-        moved = np.abs(new - pi).max()
-        pi = new
-        if moved * n < tolerance:
-            break
+        pi = (1 - damping) / n + damping * new / scores
     return pi
 
 
@@ -57,13 +53,12 @@ def rank_walk(long: DataFrame, damping: float = DAMPING, steps: int = STEPS, tas
     sound = F.when(v.isNotNull() & ~F.isnan(v) & (F.abs(v) < ABSURD), v)
     src = long.select("grp", "item", "score", sound.alias("value")).filter("item is not null and score is not null").groupBy("grp", "item", "score").agg(F.max("value").alias("value"))
     src = cut(src)
-    sizes = src.groupBy("grp").agg(F.count("*").alias("n"))
     kinds = dict(src.dtypes)
     schema = f"grp {kinds['grp']}, item {kinds['item']}, share double"
-    big = [r["grp"] for r in sizes.filter(F.col("n") > task_rows).select("grp").toLocalIterator()]
-    small = src
-    for g in big:
-        small = small.filter(~F.col("grp").eqNullSafe(F.lit(g)))
+    big = cut(src.groupBy(F.col("grp").alias("g")).agg(F.count("*").alias("c"), F.countDistinct("item").alias("n"), F.countDistinct("score").alias("m")).filter(F.col("c") > task_rows).drop("c"))
+    wide = not big.isEmpty()
+    same = F.col("grp").eqNullSafe(F.col("g"))
+    small = src.join(big, same, "left_anti") if wide else src
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         items, i = np.unique(pdf["item"].to_numpy(), return_inverse=True)
@@ -76,9 +71,9 @@ def rank_walk(long: DataFrame, damping: float = DAMPING, steps: int = STEPS, tas
         return pd.DataFrame({"grp": pdf["grp"].iloc[0], "item": items, "share": walk(ranks, damping, steps)})
 
     out = small.groupBy("grp").applyInPandas(run, schema)
-    for g in big:
-        out = out.unionByName(_wide(src.filter(F.col("grp").eqNullSafe(F.lit(g))), damping, steps))
-    return _ranked(out, bool(big))
+    if wide:
+        out = out.unionByName(_wide(src.join(big, same).drop("g"), damping, steps))
+    return _ranked(out, wide)
 
 
 def _ranked(shares: DataFrame, wide: bool) -> DataFrame:
@@ -99,36 +94,35 @@ def _ranked(shares: DataFrame, wide: bool) -> DataFrame:
 
 
 def _wide(src: DataFrame, damping: float, steps: int) -> DataFrame:
-    """The walk over one group too large for a task: sorted blocks, block sums, offsets."""
+    """The walk over all groups too large for a task at once: sorted blocks, block sums, offsets. ``src`` also has each group's numbers of items (n) and scores (m)."""
     spark = src.sparkSession
     parts = max(2, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    grp = src.select("grp").first()[0]
-    items = cut(src.select("item").distinct())
-    n = items.count()
-    names = [r[0] for r in src.select("score").distinct().toLocalIterator()]
-    each = items.crossJoin(F.broadcast(spark.createDataFrame([(s,) for s in names], f"score {dict(src.dtypes)['score']}")))
-    full = each.join(src.select("item", "score", "value"), ["item", "score"], "left").withColumn("value", F.coalesce("value", F.lit(float("-inf"))))
-    counts = full.groupBy("score", "value").agg(F.count("*").alias("c"))
-    blocks = cut(counts.repartitionByRange(parts, "score", "value").withColumn("block", F.spark_partition_id()))
-    within = Window.partitionBy("score", "block").orderBy("value")
-    earlier = Window.partitionBy("score").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    # null groups get a key of their own, so that plain equi-joins serve
+    src = cut(src.withColumn("key", F.struct("grp")))
+    items = cut(src.select("key", "item", "n", "m").distinct())
+    names = src.select("key", "score").distinct()
+    full = items.join(names, "key").join(src.select("key", "item", "score", "value"), ["key", "item", "score"], "left").withColumn("value", F.coalesce("value", F.lit(float("-inf"))))
+    counts = full.groupBy("key", "score", "value", "n").agg(F.count("*").alias("c"))
+    blocks = cut(counts.repartitionByRange(parts, "key", "score", "value").withColumn("block", F.spark_partition_id()))
+    within = Window.partitionBy("key", "score", "block").orderBy("value")
+    earlier = Window.partitionBy("key", "score").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
 
     def prefix(df: DataFrame, col: str) -> DataFrame:
         """Adds ``below``: the sum of ``col`` over lower values of the same score."""
         local = df.withColumn("local", F.sum(col).over(within) - F.col(col))
-        offsets = df.groupBy("score", "block").agg(F.sum(col).alias("t")).withColumn("o", F.coalesce(F.sum("t").over(earlier), F.lit(0))).drop("t")
-        return local.join(offsets, ["score", "block"]).withColumn("below", F.col("local") + F.col("o")).drop("local", "o")
+        offsets = df.groupBy("key", "score", "block").agg(F.sum(col).alias("t")).withColumn("o", F.coalesce(F.sum("t").over(earlier), F.lit(0))).drop("t")
+        return local.join(offsets, ["key", "score", "block"]).withColumn("below", F.col("local") + F.col("o")).drop("local", "o")
 
-    ranked = cut(prefix(blocks, "c").withColumn("h", F.lit(n) - F.col("below") - F.col("c")).select("score", "value", "block", "h"))
-    long = cut(full.join(ranked, ["score", "value"]).select("item", "score", "value", "block", "h"))
-    pi = items.withColumn("share", F.lit(1.0 / n))
+    ranked = cut(prefix(blocks, "c").withColumn("h", F.col("n") - F.col("below") - F.col("c")).select("key", "score", "value", "block", "h"))
+    long = cut(full.join(ranked, ["key", "score", "value"]).select("key", "item", "n", "m", "score", "value", "block", "h"))
+    pi = items.select("key", "item", (1.0 / F.col("n")).alias("share"))
     for _ in range(steps):
-        mass = long.filter("h > 0").join(pi, "item").groupBy("score", "block", "value").agg(F.sum(F.col("share") / F.col("h")).alias("m"))
-        every = ranked.select("score", "value", "block").join(mass, ["score", "block", "value"], "left").withColumn("m", F.coalesce("m", F.lit(0.0)))
-        gained = long.join(prefix(every, "m").select("score", "value", "below"), ["score", "value"]).join(pi, "item")
-        step = F.sum(F.col("below") + F.when(F.col("h") == 0, F.col("share")).otherwise(0.0)) / len(names)
-        pi = cut(gained.groupBy("item").agg((F.lit((1 - damping) / n) + F.lit(damping) * step).alias("share")), looped=True)
-    return pi.select(F.lit(grp).cast(dict(src.dtypes)["grp"]).alias("grp"), "item", "share")
+        mass = long.filter("h > 0").join(pi, ["key", "item"]).groupBy("key", "score", "block", "value").agg(F.sum(F.col("share") / F.col("h")).alias("mass"))
+        every = ranked.select("key", "score", "value", "block").join(mass, ["key", "score", "block", "value"], "left").withColumn("mass", F.coalesce("mass", F.lit(0.0)))
+        gained = long.join(prefix(every, "mass").select("key", "score", "value", "below"), ["key", "score", "value"]).join(pi, ["key", "item"])
+        step = F.sum(F.col("below") + F.when(F.col("h") == 0, F.col("share")).otherwise(0.0)) / F.max("m")
+        pi = cut(gained.groupBy("key", "item").agg((F.lit(1 - damping) / F.max("n") + F.lit(damping) * step).alias("share")), looped=True)
+    return pi.select(F.col("key.grp").alias("grp"), "item", "share")
 
 
 def file_ranks(git_files: DataFrame, **options) -> DataFrame:

@@ -77,13 +77,15 @@ def split_item(content: str | None, lang: str | None, kind: str | None, limit: i
 
     No piece is longer than ``limit``; a piece starts up to ``overlap`` code points
     before its own start, at a line if one begins there. Content within the
-    limit is one piece; null and empty content give none.
+    limit is one piece; null and empty content give none. An overlap that leaves
+    a piece no room of its own is an error.
     """
+    if not 0 <= overlap < limit:
+        raise ValueError("overlap must be at least 0 and less than limit")
     if not content:
         return []
     if len(content) <= limit:
         return [(0, len(content), 0)]
-    overlap = min(overlap, limit // 2)
     seg = _segments(content, lang, kind, limit - overlap)
     n = len(seg)
     nxt, prev = list(range(1, n + 1)), list(range(-1, n - 1))
