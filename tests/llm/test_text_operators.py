@@ -58,6 +58,13 @@ CASES = [
     ("No end mark\n\nNext one. 🚀 Then", ["No end mark", "Next one. 🚀", "Then"]),
     ("It costs 8.72 ms. A new one took 3 s. Ms. Venn saw it.", ["It costs 8.72 ms.", "A new one took 3 s.", "Ms. Venn saw it."]),
     ("Am 3. Mai fiel es auf 9. Nur das.", ["Am 3. Mai fiel es auf 9.", "Nur das."]),
+    ("This is modern art. The next one is not.", ["This is modern art.", "The next one is not."]),
+    ("Close the tab. Then open the app. It starts.", ["Close the tab.", "Then open the app.", "It starts."]),
+    ("We hit the cap. Nothing else failed.", ["We hit the cap.", "Nothing else failed."]),
+    ("See the env. It is set.", ["See the env.", "It is set."]),
+    ("Plan B. Then we go. J. R. Strand is in fig. 3 and art. 5 of it.", ["Plan B.", "Then we go.", "J. R. Strand is in fig. 3 and art. 5 of it."]),
+    ("Voir l'art. 12 et env. 30 lignes. Le reste est pour M. Brask.", ["Voir l'art. 12 et env. 30 lignes.", "Le reste est pour M. Brask."]),
+    ("The unit is m. Then it grew. Ein Teil, d. h. der Rest, ist für Hr. Brask. Das war es.", ["The unit is m.", "Then it grew.", "Ein Teil, d. h. der Rest, ist für Hr. Brask.", "Das war es."]),
     ("line one\nstill one.\n \t\nnew", ["line one\nstill one.", "new"]),
 ]
 
