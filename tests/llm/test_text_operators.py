@@ -123,7 +123,7 @@ def test_leaks_equal_brute_force(spark):
             texts.append(joined.upper() if kind == 1 else joined.replace(" ", "\n> ", 7) if kind == 3 else joined)
         texts.append(" ".join(body[:20] + q[4:18] + body[20:]))
     texts += [None, "", opening, " ".join(some(50))]
-    got = {(r.doc_id, r.item_id) for r in leaks.leaks(docs(spark, texts), spark.createDataFrame(items, ITEM), item_block=7).collect()}
+    got = {(r.doc_id, r.item_id) for r in leaks.leaks(docs(spark, texts), spark.createDataFrame(items, ITEM)).collect()}
     want = {(d, i) for d, t in enumerate(map(grams, texts)) for i, (_, q, (a,), _x) in enumerate(items) if plain(t, q[len(opening) :]) or plain(t, a)}
     assert got == want and len(want) >= 90
 
@@ -139,16 +139,35 @@ def test_leaks_edges(spark):
 def test_one_shared_run_in_full_windows_is_seen():
     rnd = random.Random(9)
     some = lambda k: [f"w{rnd.randrange(400)}" for _ in range(k)]
-    passages = [some(12) for _ in range(900)]
-    items = leaks.Items([(i, " ".join(p), None) for i, p in enumerate(passages)], set())
-    texts = [some(10) + p[:6] + some(60) for p in passages]
-    shingles = [leaks._shingles(np.array([items.vocabulary[w] for w in t])) for t in texts]
-    seen = items.candidates(np.concatenate(shingles), np.cumsum([len(h) for h in shingles]))
-    assert [i for i in range(len(passages)) if (i, i) not in seen] == []
+    texts = [some(12) for _ in range(900)]
+    hashed = [leaks.shingles(" ".join(p)) for p in texts]
+    bands = np.max([leaks.needs(h, 12) for h in hashed], 0).tolist()
+    docs_ = [leaks.shingles(" ".join(some(10) + p[:6] + some(60))) for p in texts]
+    doc, key = leaks.window_keys(np.concatenate(docs_), np.cumsum([len(h) for h in docs_]), bands)
+    assert [i for i, h in enumerate(hashed) if not np.isin(leaks.passage_keys(h, 12), key[doc == i]).any()] == []
 
 
 def test_bands_meet_the_miss_probability():
-    items = leaks.Items([(1, " ".join(f"a{i}" for i in range(15)), None), (2, " ".join(f"b{i}" for i in range(29)), None)], set())
-    for upper, bands in zip(leaks.SIZES, items.bands):
-        assert (1 - 1 / (upper + 10 - 1)) ** bands <= leaks.MISS
-        assert (1 - 2 / (upper + leaks.SEGMENT - 2)) ** bands <= leaks.MISS
+    one, two = (leaks.shingles(" ".join(f"{c}{i}" for i in range(n))) for c, n in (("a", 15), ("b", 29)))
+    for upper, a, b in zip(leaks.SIZES, leaks.needs(one, 15), leaks.needs(two, 29)):
+        assert (1 - 1 / (upper + 10 - 1)) ** a <= leaks.MISS
+        assert (1 - 2 / (upper + leaks.SEGMENT - 2)) ** b <= leaks.MISS
+
+
+def test_bitmap_holds_all_and_little_else():
+    rng = np.random.default_rng(1)
+    h = rng.integers(0, 2**64, 60_000, dtype=np.uint64)
+    bits = leaks.bitmap(h[:30_000])
+    assert leaks.has(bits, h[:30_000]).all() and leaks.has(bits, h[30_000:]).mean() < 1e-3
+
+
+def test_twenty_thousand_items(spark):
+    """Items grow without a bound: nothing of them but two bitmaps is on the driver or broadcast."""
+    rnd = random.Random(3)
+    some = lambda n: " ".join(f"w{rnd.randrange(5000)}" for _ in range(n))
+    answers = [some(20) for _ in range(20_000)]
+    items = spark.createDataFrame([(i, None, (a,), "x") for i, a in enumerate(answers)], ITEM)
+    held = list(range(0, 20_000, 400))
+    texts = [f"{some(50)} {answers[i]} {some(30)}" for i in held] + [some(200) for _ in range(50)]
+    got = {(r.doc_id, r.item_id) for r in leaks.leaks(docs(spark, texts), items).collect()}
+    assert got == set(enumerate(held))
