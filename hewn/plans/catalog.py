@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from hewn.plans import analysis, closing, extended, relational, scan, stateful
+from hewn.plans import analysis, choosing, closing, extended, relational, scan, stateful
 from hewn.plans.registry import ORACLE_SQL, QUERIES
 
-__all__ = ["FLAGSHIP", "ORACLE_SQL", "QUERIES", "analysis", "closing", "extended", "relational", "scan", "stateful"]
+__all__ = ["FLAGSHIP", "ORACLE_SQL", "QUERIES", "analysis", "choosing", "closing", "extended", "relational", "scan", "stateful"]
 
 
 def FLAGSHIP(spark, d):

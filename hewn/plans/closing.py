@@ -149,14 +149,6 @@ def b24_domain(spark, d):
     return table(spark, d, "documents").filter("text is not null").groupBy(dom.alias("domain")).agg(F.count("*").alias("docs"), F.round(F.avg(F.length("text")), 6).alias("mean_length"))
 
 
-@query("""WITH s AS (SELECT DISTINCT unnest(map_keys(chunk_modes)) AS id FROM selection_results), c AS (SELECT id, min(lower(kind)) AS kind FROM chunks WHERE kind IS NOT NULL GROUP BY 1)
-SELECT kind, count(*) AS chunks, count(s.id) AS selected, round(count(s.id) * 1.0 / count(*), 6)::DOUBLE AS recall FROM c LEFT JOIN s USING (id) GROUP BY 1""")
-def d28_content_recall(spark, d):
-    s = table(spark, d, "selection_results").select(F.explode(F.map_keys("chunk_modes")).alias("id")).distinct().withColumn("hit", F.lit(1))
-    c = table(spark, d, "chunks").filter("kind is not null").groupBy("id").agg(F.min(F.lower("kind")).alias("kind"))
-    return c.join(s, "id", "left").groupBy("kind").agg(F.count("*").alias("chunks"), F.count("hit").alias("selected"), F.round(F.count("hit") / F.count("*"), 6).alias("recall"))
-
-
 @query("""SELECT CASE doc_kind WHEN 'readme' THEN 4 WHEN 'handbook' THEN 3 WHEN 'design_note' THEN 3 WHEN 'changelog' THEN 2 ELSE 1 END AS tier, count(*) AS docs, round(avg(coalesce(length(text), 0)), 6) AS mean_length FROM documents GROUP BY 1""")
 def d33_document_tiers(spark, d):
     k = F.col("doc_kind")

@@ -30,14 +30,6 @@ def b18_slices(spark, d):
     return table(spark, d, "qa_items").filter("question is not null").groupBy(s.alias("slice")).agg(F.count("*").alias("n"), F.round(F.avg("gold.confidence_score"), 6).alias("confidence"))
 
 
-@query(f"""WITH f AS ({FILES_SQL}) SELECT file_id, array_to_string(list_filter([CASE WHEN regexp_matches(lower(path), '(^|/)(main|index|app|server)\\.') THEN 'entry_point' END, CASE WHEN regexp_matches(lower(path), '(^|/)tests?/') THEN 'test' END,
- CASE WHEN tokens > 1000 THEN 'large' END, CASE WHEN chunks >= 10 THEN 'rich' END], lambda x: x IS NOT NULL), ',') AS rules FROM f""")
-def b21_inclusion_rules(spark, d):
-    p = F.lower("path")
-    rules = [(p.rlike(r"(^|/)(main|index|app|server)\."), "entry_point"), (p.rlike("(^|/)tests?/"), "test"), (F.col("tokens") > 1000, "large"), (F.col("chunks") >= 10, "rich")]
-    return files(spark, d).select("file_id", F.array_join(F.array(*[F.when(c, F.lit(n)) for c, n in rules]), ",").alias("rules"))
-
-
 @query(f"""WITH f AS ({FILES_SQL}), e AS (SELECT repo_name, lower(regexp_extract(path, '\\.([A-Za-z0-9]+)$', 1)) AS ext, count(*) AS n, max(len(string_split(path, '/'))) AS depth FROM f GROUP BY 1, 2)
 SELECT repo_name, CAST(sum(n) AS BIGINT) AS files, count(*) AS extensions, CAST(max(depth) AS BIGINT) AS depth, round(0.4 * least(1, sum(n) / 1000) + 0.3 * least(1, max(depth) / 10) + 0.3 * least(1, count(*) / 10), 6)::DOUBLE AS complexity,
  CASE WHEN sum(n) < 10 THEN 'small' WHEN sum(n) < 100 THEN 'medium' ELSE 'large' END AS bucket FROM e GROUP BY 1""")
@@ -160,17 +152,6 @@ def j11_documentation_only(spark, d):
     return budget.break_greedy(r, "repo_name", "rank", "tokens", 500).select("repo_name", "row_id")
 
 
-@query()
-def i7_two_pass(spark, d):
-    """Three quarters of the budget by score, the rest to files that the chosen ones use and that were not chosen."""
-    c = _ranked_chunks(spark, d)
-    first = budget.skip_greedy(c, "repo_name", "rank", "tokens", 1500).select("repo_name", "row_id", "tokens", F.lit("speculate").alias("pass"))
-    left = c.join(first.select("row_id"), "row_id", "left_anti").filter("tokens > 0")
-    docs = table(spark, d, "chunks").filter("docstring is not null and docstring <> ''").select("row_id")
-    patch = budget.skip_greedy(left.join(docs, "row_id", "left_semi"), "repo_name", "rank", "tokens", 500).select("repo_name", "row_id", "tokens", F.lit("patch").alias("pass"))
-    return first.unionByName(patch)
-
-
 @query("""
 WITH u AS (SELECT run_id, coverage_score / greatest(total_tokens, 1) * 1000 AS utility, budget_utilization FROM selection_results WHERE coverage_score BETWEEN 0 AND 1 AND total_tokens IS NOT NULL)
 SELECT run_id, CASE WHEN utility < 0.05 THEN 'low_utility' ELSE 'over_used' END AS reason FROM u WHERE utility < 0.05 OR budget_utilization > 0.99""")

@@ -70,22 +70,6 @@ def _paired(spark, d):
     return m.groupBy("pack_id").agg(one("v0c_bm25_baseline").alias("a"), one("coverage_enhanced").alias("b")).filter("a is not null and b is not null")
 
 
-@query("SELECT DISTINCT g.file_id FROM git_files g WHERE g.file_id NOT IN (SELECT file_id FROM chunks)")
-def c8_files_without_chunks(spark, d):
-    return table(spark, d, "git_files").select("file_id").distinct().join(table(spark, d, "chunks").select("file_id"), "file_id", "left_anti")
-
-
-@query(f"""WITH f AS ({FILES_SQL}) SELECT file_id FROM f WHERE regexp_matches(lower(path), '(^|/)(main|index|app|server)\\.') AND file_id NOT IN (SELECT file_id FROM chunks WHERE lower(kind) = 'main')""")
-def c9_missing_entry(spark, d):
-    entry = files(spark, d).filter(F.lower("path").rlike(r"(^|/)(main|index|app|server)\.")).select("file_id")
-    return entry.join(table(spark, d, "chunks").filter("lower(kind) = 'main'").select("file_id"), "file_id", "left_anti")
-
-
-@query("SELECT DISTINCT file_id FROM git_files WHERE file_id IN (SELECT file_id FROM chunks WHERE lower(kind) = 'class')")
-def c10_files_with_classes(spark, d):
-    return table(spark, d, "git_files").select("file_id").distinct().join(table(spark, d, "chunks").filter("lower(kind) = 'class'").select("file_id"), "file_id", "left_semi")
-
-
 @query("""
 WITH s AS (SELECT pack_id, variant_id, unnest(map_entries(selection_scores)) AS e FROM (SELECT pack_id, variant_id, arg_max(selection_scores, run_id) AS selection_scores FROM selection_results GROUP BY ALL)),
 r AS (SELECT pack_id, variant_id, e.key AS item, e.value > 0.5 AS yes FROM s WHERE e.value IS NOT NULL AND NOT isnan(e.value))
@@ -163,16 +147,6 @@ def d7_mode_breakdown(spark, d):
     return m.join(c, "id").groupBy(F.lower("kind").alias("kind")).agg(F.count_if(F.col("mode") == "full").alias("full_n"), F.count_if(F.col("mode") == "signature").alias("signature_n"), F.count("*").alias("n"))
 
 
-@query("""
-SELECT repo_name, count(*) AS chunks, count(*) FILTER (WHERE docstring IS NOT NULL AND docstring <> '') AS documented, round(avg(len(string_split(rel_path, '/'))), 6) AS depth,
- CAST(sum(full_tokens) FILTER (WHERE full_tokens > 0) AS BIGINT) AS tokens, round(median(complexity_score), 6) AS complexity FROM chunks GROUP BY 1""")
-def d8_selection_statistics(spark, d):
-    return table(spark, d, "chunks").groupBy("repo_name").agg(
-        F.count("*").alias("chunks"), F.count_if(F.col("docstring").isNotNull() & (F.col("docstring") != "")).alias("documented"),
-        F.round(F.avg(F.size(F.split("rel_path", "/"))), 6).alias("depth"), F.sum(F.when(F.col("full_tokens") > 0, F.col("full_tokens"))).alias("tokens"), F.round(F.median("complexity_score"), 6).alias("complexity"),
-    )
-
-
 _ENTROPY = """
 WITH c AS (SELECT repo_name, lower(kind) AS k, count(*) AS n FROM chunks GROUP BY 1, 2), t AS (SELECT repo_name, sum(n) AS total, count(*) AS classes FROM c GROUP BY 1)
 SELECT repo_name, round(abs(sum(n / total * log2(n / total))), 6) AS entropy, round(CASE WHEN max(classes) > 1 THEN abs(sum(n / total * log2(n / total))) / log2(least(max(classes), 6)) ELSE 0 END, 6) AS diversity,
@@ -271,20 +245,6 @@ def d23_variant_statistics(spark, d):
     )
 
 
-@query("""
-WITH r AS (SELECT e.row_id, e.complexity_score, row_number() OVER (ORDER BY coalesce(centrality_score, 0) DESC, row_id) AS rn, lower(kind) IN ('class', 'main') AS hit FROM chunks e)
-SELECT k, round(sum(CASE WHEN hit AND rn <= k THEN 1 ELSE 0 END) * 1.0 / k, 6)::DOUBLE AS precision_at_k, round(sum(CASE WHEN hit AND rn <= k THEN 1 ELSE 0 END) * 1.0 / sum(CASE WHEN hit THEN 1 ELSE 0 END), 6)::DOUBLE AS recall_at_k
-FROM r, (VALUES (10), (20), (50), (100)) t(k) GROUP BY 1""")
-def d27_precision_recall(spark, d):
-    """Precision and recall of the centrality order at four cut-offs; only the first hundred rows are ranked."""
-    c = table(spark, d, "chunks").select("row_id", F.coalesce("centrality_score", F.lit(0.0)).alias("s"), F.coalesce(F.lower("kind").isin("class", "main"), F.lit(False)).alias("hit"))
-    top = c.orderBy(F.desc("s"), "row_id").limit(100)
-    ranked = top.withColumn("rn", F.row_number().over(Window.orderBy(F.desc("s"), "row_id")))
-    ks = spark.createDataFrame([(10,), (20,), (50,), (100,)], "k int")
-    got = ks.crossJoin(ranked).groupBy("k").agg(F.count_if(F.col("hit") & (F.col("rn") <= F.col("k"))).alias("h"))
-    return got.crossJoin(c.agg(F.count_if("hit").alias("all"))).select("k", F.round(F.col("h") / F.col("k"), 6).alias("precision_at_k"), F.round(F.col("h") / F.col("all"), 6).alias("recall_at_k"))
-
-
 @query("""
 WITH b AS (SELECT CASE WHEN variant_id LIKE 'v0%' THEN 'baseline' ELSE 'advanced' END AS class, coverage_score AS x FROM selection_results WHERE coverage_score BETWEEN 0 AND 1)
 SELECT class, round(avg(x), 6) AS mean, round((avg(x) / (SELECT avg(x) FROM b WHERE class = 'baseline') - 1) * 100, 6) AS over_baseline FROM b GROUP BY 1""")
