@@ -163,15 +163,6 @@ def g4_common_terms(spark, d):
     return q.select("item_id", F.size(F.array_intersect(words("question"), words("gold.answer_text"))).cast("long").alias("common"))
 
 
-@query(f"""WITH f AS ({FILES_SQL}) SELECT file_id, round(CAST(CASE WHEN regexp_matches(regexp_extract(lower(path), '([^/]*)$', 1), 'readme') THEN 2.0 ELSE 0 END + CASE WHEN regexp_matches(lower(path), '(^|/)docs?/') THEN 1.0 ELSE 0 END
- + CASE WHEN regexp_matches(lower(path), '\\.(json|ya?ml|toml)$') THEN 0.3 ELSE 0 END + CASE WHEN len(string_split(path, '/')) <= 2 THEN 0.2 ELSE 0 END AS DOUBLE), 6) AS boost FROM f""")
-def h9_priority_boost(spark, d):
-    p = F.lower("path")
-    one = lambda c, v: F.when(c, v).otherwise(0.0)
-    boost = one(paths.file_name(F.col("path")).rlike("readme"), 2.0) + one(p.rlike("(^|/)docs?/"), 1.0) + one(p.rlike(r"\.(json|ya?ml|toml)$"), 0.3) + one(paths.depth(F.col("path")) <= 2, 0.2)
-    return files(spark, d).select("file_id", F.round(boost, 6).alias("boost"))
-
-
 @query("""
 WITH g AS (SELECT file_id, min(path) AS path, max(change_count) AS n, max(lines_added + lines_deleted) AS changed FROM git_files GROUP BY 1), t AS (SELECT max(n) AS n FROM g)
 SELECT file_id, round(CAST(0.30 * least(1, changed / 500.0) + 0.25 * CASE WHEN regexp_matches(lower(path), 'test|spec') THEN 0.5 WHEN regexp_matches(lower(path), 'doc') THEN 0.3 ELSE 1.0 END + 0.20 * g.n * 1.0 / t.n AS DOUBLE), 6) AS relevance FROM g, t""")

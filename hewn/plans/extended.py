@@ -132,17 +132,6 @@ def h31_slug(spark, d):
     return files(spark, d).select("file_id", text.slug(F.col("path")).alias("slug"))
 
 
-@query(f"""
-WITH {EDGES_SQL}, s AS (SELECT file_id AS node, max(coalesce(complexity_score, 0)) AS h FROM chunks GROUP BY 1), i AS (SELECT dst AS node, count(*) AS n FROM e0 GROUP BY 1)
-SELECT s.node, round(0.85 * h + 0.15 * coalesce(n, 0) * (SELECT max(h) FROM s) / (SELECT max(n) FROM i), 6) AS score FROM s LEFT JOIN i ON i.node = s.node""")
-def j9_centrality_blend(spark, d):
-    _, e = _graph(spark, d)
-    s = table(spark, d, "chunks").groupBy(F.col("file_id").alias("node")).agg(F.max(F.coalesce("complexity_score", F.lit(0.0))).alias("h"))
-    i = e.groupBy(F.col("dst").alias("node")).agg(F.count("*").alias("n"))
-    top = s.agg(F.max("h").alias("mh")).crossJoin(i.agg(F.max("n").alias("mn")))
-    return s.join(i, "node", "left").crossJoin(top).select("node", F.round(graph.blend(F.col("h"), F.coalesce("n", F.lit(0)) * F.col("mh") / F.col("mn")), 6).alias("score"))
-
-
 @query(f"""WITH s AS (SELECT repo_name, row_id, {TOK} AS tokens, CASE lower(kind) WHEN 'docstring' THEN 10 WHEN 'comment' THEN 8 WHEN 'module_header' THEN 6 ELSE 0 END AS score FROM chunks)
 SELECT repo_name, row_id FROM (SELECT *, sum(tokens) OVER (PARTITION BY repo_name ORDER BY score DESC, row_id ROWS UNBOUNDED PRECEDING) AS cum FROM s WHERE score > 0) WHERE cum <= 500""")
 def j11_documentation_only(spark, d):

@@ -119,21 +119,6 @@ def b5_match_modes(spark, d):
     )
 
 
-@query(f"""
-WITH f AS ({FILES_SQL})
-SELECT file_id, CASE WHEN regexp_matches(lower(path), '(^|/)(build|dist|out|target|bin|obj|node_modules|vendor|pods|__pycache__|venv|env|site-packages|coverage|htmlcov)/') THEN 'build_artifact'
-  WHEN size = 0 THEN 'temporary_file' WHEN size > 50000 THEN 'too_large'
-  WHEN regexp_matches(path, '\\.generated\\.\\w+$|\\.gen\\.\\w+$|_pb2\\.py$|_pb2_grpc\\.py$|\\.pb\\.go$|\\.min\\.\\w+$|\\.bundle\\.\\w+$|\\.chunk\\.\\w+$|lock\\.json$|yarn\\.lock$') THEN 'generated_file'
-  ELSE 'included' END AS reason FROM f""")
-def b6_filter_decision(spark, d):
-    low = F.lower("path")
-    reason = (
-        F.when(low.rlike(paths.EXCLUDED_DIRECTORY), "build_artifact").when(F.col("size") == 0, "temporary_file").when(F.col("size") > 50000, "too_large")
-        .when(F.col("path").rlike(paths.GENERATED_NAME), "generated_file").otherwise("included")
-    )
-    return files(spark, d).select("file_id", reason.alias("reason"))
-
-
 @query("""
 SELECT doc_id, contains(text, chr(0)) OR length(regexp_replace(substr(text, 1, 8192), '[\\x20-\\x7E\\t\\n\\r]', '', 'g')) > 0.25 * greatest(1, length(substr(text, 1, 8192))) AS looks_binary
 FROM documents WHERE text IS NOT NULL""")
@@ -157,17 +142,6 @@ def b8_generated_score(spark, d):
     return table(spark, d, "chunks").filter("content is not null").select("row_id", F.round(text.generated_score(F.col("content")), 6).alias("score"))
 
 
-@query("""
-SELECT row_id, regexp_matches(content, 'def\\s+main\\s*\\(|function\\s+main\\s*\\(|func\\s+main\\s*\\(|fn\\s+main\\s*\\(|argparse\\.ArgumentParser|click\\.|typer\\.|app\\.listen\\s*\\(') AS entrypoint,
- contains(lower(content), 'example:') OR contains(lower(content), 'usage:') OR contains(content, 'if __name__ == "__main__":') OR contains(content, '>>> ') AS examples FROM chunks WHERE content IS NOT NULL""")
-def b11_entrypoints(spark, d):
-    c = table(spark, d, "chunks").filter("content is not null")
-    return c.select(
-        "row_id", F.col("content").rlike(r"def\s+main\s*\(|function\s+main\s*\(|func\s+main\s*\(|fn\s+main\s*\(|argparse\.ArgumentParser|click\.|typer\.|app\.listen\s*\(").alias("entrypoint"),
-        (text.any_of(F.lower("content"), ["example:", "usage:"]) | text.any_of(F.col("content"), ['if __name__ == "__main__":', ">>> "])).alias("examples"),
-    )
-
-
 @query(f"""
 WITH f AS ({FILES_SQL}), g AS (SELECT CASE WHEN regexp_matches(regexp_extract(lower(path), '([^/]*)$', 1), '\\.(json|ya?ml|toml|ini|cfg|conf)$|^(requirements\\.txt|setup\\.py|makefile|dockerfile)$') THEN 'config'
   WHEN regexp_matches(lower(path), '(^|/)(main|__main__|app|server|index)\\.py$|(^|/)(main|index|app|server)\\.js$|(^|/)(index|main)\\.ts$|(^|/)main\\.(go|rs)$|(^|/)(lib|mod)\\.rs$') THEN 'entry'
@@ -282,30 +256,6 @@ def h8_churn(spark, d):
     return g.crossJoin(g.agg(F.max("t").alias("now"))).select("file_id", F.when(F.col("t").isNull(), 0.1).when(age < 1, 1.0).when(age < 7, 0.7).when(age < 30, 0.4).otherwise(0.1).alias("churn"))
 
 
-@query(f"""
-WITH f AS ({FILES_SQL}), s AS (SELECT file_id, len(string_split(path, '/')) AS depth, regexp_matches(lower(path), '(^|/)(doc|docs)/') AS doc, regexp_matches(lower(path), 'config|\\.(json|ya?ml|toml)$') AS conf FROM f)
-SELECT file_id, round(CAST(0.1 * CASE WHEN depth <= 1 THEN 1.0 WHEN depth <= 2 THEN 0.8 WHEN depth <= 3 THEN 0.6 ELSE 2.0 / depth END + 0.3 * CASE WHEN doc THEN 1 ELSE 0 END
-  + CASE WHEN doc THEN 1.0 ELSE 0 END + CASE WHEN conf THEN 0.3 ELSE 0 END + CASE WHEN depth <= 2 THEN 0.2 ELSE 0 END AS DOUBLE), 6) AS score FROM s""")
-def h10_heuristic_score(spark, d):
-    dp, p = paths.depth(F.col("path")), F.lower("path")
-    doc, conf = p.rlike("(^|/)(doc|docs)/").cast("double"), p.rlike(r"config|\.(json|ya?ml|toml)$").cast("double")
-    score = 0.1 * paths.path_score(dp) + 0.3 * doc + doc + 0.3 * conf + F.when(dp <= 2, 0.2).otherwise(0.0)
-    return files(spark, d).select("file_id", F.round(score, 6).alias("score"))
-
-
-@query("""
-SELECT row_id, round(CAST(CASE lower(kind) WHEN 'main' THEN 3.0 WHEN 'class' THEN 2.0 WHEN 'function' THEN 1.5 WHEN 'import' THEN 0.5 WHEN 'test' THEN 0.8 WHEN 'docstring' THEN 1.2 ELSE 1.0 END
- * CASE WHEN regexp_matches(lower(coalesce(rel_path, '')), 'main\\.|index\\.|__init__|app\\.') THEN 1.5 ELSE 1 END * (1 + 0.5 * coalesce(doc_density, 0))
- * CASE WHEN complexity_score > 5 THEN 1 - least(0.5, (complexity_score - 5) / 10) ELSE 1 END AS DOUBLE), 6) AS priority FROM chunks""")
-def h13_chunk_priority(spark, d):
-    kinds = F.create_map(*[F.lit(x) for kv in {"main": 3.0, "class": 2.0, "function": 1.5, "import": 0.5, "test": 0.8, "docstring": 1.2}.items() for x in kv])
-    base = F.coalesce(F.try_element_at(kinds, F.lower("kind")), F.lit(1.0))
-    entry = F.when(F.lower(F.coalesce("rel_path", F.lit(""))).rlike(r"main\.|index\.|__init__|app\."), 1.5).otherwise(1.0)
-    cx = F.col("complexity_score")
-    penalty = F.when(cx > 5, 1 - F.least(F.lit(0.5), (cx - 5) / 10)).otherwise(1.0)
-    return table(spark, d, "chunks").select("row_id", F.round(base * entry * (1 + 0.5 * F.coalesce("doc_density", F.lit(0.0))) * penalty, 6).alias("priority"))
-
-
 @query("""
 WITH w AS (SELECT doc_id, string_split_regex(trim(text), '[ \\t\\r\\n]+') AS words FROM documents WHERE text IS NOT NULL AND length(trim(text)) > 0)
 SELECT doc_id, CAST(i / 80 AS BIGINT) AS pos, array_to_string(words[i + 1:i + 100], ' ') AS piece FROM (SELECT doc_id, words, unnest(range(0, len(words), 80)) AS i FROM w)""")
