@@ -75,6 +75,39 @@ def test_skip_greedy(spark, fold_rows):
     assert budget.skip_greedy(df.limit(0), "g", "rank", "tokens", 100).count() == 0
 
 
+@pytest.mark.parametrize("fold_rows", [25, 1000])
+def test_greedy_in_rounds_equals_plain_loops(spark, fold_rows):
+    import random
+
+    rnd = random.Random(5)
+    rows = [(rnd.choice("abbb"), i, rnd.choice("xyz"), rnd.randint(1, 60)) for i in range(80)]
+    df = spark.createDataFrame([(g, i, k, t, t, max(1, t // 5), i) for g, i, k, t in rows], "g string, id long, kind string, tokens long, full_tokens long, signature_tokens long, rank long")
+    used, by, want = {}, {}, set()
+    for g, i, k, t in rows:
+        if used.get(g, 0) + t <= 400 and by.get((g, k), 0) + t <= 160:
+            used[g], by[g, k] = used.get(g, 0) + t, by.get((g, k), 0) + t
+            want.add((g, i, k, t))
+    got = {(r.g, r.id, r.kind, r.tokens) for r in budget.capped_greedy(df, "g", "kind", "rank", 400, 0.4, fold_rows).collect()}
+    assert got == want
+    used, want = {}, set()
+    for g, i, _, t in rows:
+        for mode, n in (("full", t), ("signature", max(1, t // 5))):
+            if used.get(g, 0) + n <= 400:
+                used[g] = used.get(g, 0) + n
+                want.add((g, i, mode, n))
+                break
+    got = {(r.g, r.id, r["mode"], r.tokens) for r in budget.two_mode_greedy(df, "g", "rank", 400, fold_rows).collect()}
+    assert got == want
+    limits = df.withColumn("lim", (100 + df.id % 3 * 50).cast("long"))
+    used, want = {}, set()
+    for g, i, _, t in rows:
+        if used.get(g, 0) + t <= 100 + i % 3 * 50:
+            used[g] = used.get(g, 0) + t
+            want.add((g, i, used[g]))
+    got = {(r.g, r.id, r.cum_tokens) for r in budget.skip_greedy(limits, "g", "rank", "tokens", "lim", fold_rows).collect()}
+    assert got == want
+
+
 def test_two_mode(spark):
     df = spark.createDataFrame([("a", 1, 1, 60, 6), ("a", 2, 2, 50, 5), ("a", 3, 3, 36, 4), ("a", 4, 4, 30, 29)], "g string, id long, rank long, full_tokens long, signature_tokens long")
     got = [(r.id, r["mode"], r.tokens) for r in budget.two_mode_greedy(df, "g", "rank", 100).orderBy("id").collect()]
