@@ -180,20 +180,6 @@ def h16_bm25(spark, d):
 
 # ---- selection
 
-@query()
-def j1_mmr(spark, d):
-    return select.greedy_diverse(_vectors(spark, d), 8, "mmr")
-
-
-@query()
-def j2_facility(spark, d):
-    return select.greedy_diverse(_vectors(spark, d), 8, "facility", budget=400)
-
-
-def _vectors(spark, d):
-    v = table(spark, d, "embeddings")
-    return v.select(F.col("label").cast("string").alias("grp"), F.col("vec_id").alias("id"), (1.0 / (1 + F.col("vec_id") % 7)).alias("quality"), (F.col("vec_id") % 90 + 10).alias("tokens"), F.col("embedding").alias("vec"))
-
 
 @query(f"""
 WITH RECURSIVE r AS (SELECT repo_name, row_id, lower(coalesce(kind, 'none')) AS kind, {TOK} AS tokens, row_number() OVER (PARTITION BY repo_name ORDER BY coalesce(centrality_score, 0) / greatest({TOK}, 1) DESC, row_id) AS rn FROM chunks),

@@ -87,24 +87,6 @@ def h31_human_bytes(spark, d):
     return g.select("file_id", text.human_bytes(F.col("n")).alias("human"))
 
 
-@query(f"""
-WITH t AS (SELECT row_id, repo_name, {TOK} AS tokens, unnest(list_distinct(string_split_regex(lower(coalesce(content, '')), '[^a-z0-9]+'))) AS term FROM chunks),
-df AS (SELECT term, count(*) AS df FROM t WHERE length(term) >= 3 GROUP BY 1), n AS (SELECT count(*) AS n FROM chunks),
-s AS (SELECT row_id, repo_name, tokens, round(sum(coalesce(ln(n * 1.0 / df), 0)), 6) AS score FROM t LEFT JOIN df USING (term), n GROUP BY 1, 2, 3),
-r AS (SELECT *, sum(tokens) OVER (PARTITION BY repo_name ORDER BY score DESC, row_id ROWS UNBOUNDED PRECEDING) AS cum FROM s)
-SELECT repo_name, row_id, score FROM r WHERE cum <= 1500""")
-def j13_term_weight_baseline(spark, d):
-    """Chunks by the summed weight of their distinct terms, within a budget per repository."""
-    c = table(spark, d, "chunks")
-    words = F.array_distinct(F.split(F.lower(F.coalesce("content", F.lit(""))), "[^a-z0-9]+"))
-    t = c.select("row_id", F.explode(words).alias("term")).filter(F.length("term") >= 3)
-    df = t.groupBy("term").agg(F.count("*").alias("df")).crossJoin(c.agg(F.count("*").alias("n"))).select("term", F.log(F.col("n") / F.col("df")).alias("w"))
-    s = t.join(df, "term").groupBy("row_id").agg(F.sum("w").alias("w"))
-    all_ = c.select("row_id", "repo_name", text.chunk_tokens().alias("tokens")).join(s, "row_id", "left").withColumn("score", F.round(F.coalesce("w", F.lit(0.0)), 6))
-    r = position(all_.select("row_id", "repo_name", "tokens", "score"), ["repo_name"], [F.desc("score"), F.col("row_id")])
-    return budget.break_greedy(r, "repo_name", "rank", "tokens", 1500).select("repo_name", "row_id", "score")
-
-
 @query()
 def l13_power(spark, d):
     """Power of a two-sample test at several effects, for the smaller of the two groups of orders."""
