@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from hewn.plans import analysis, choosing, closing, extended, kernels, relational, scan, scoring, stateful
+from hewn.plans import analysis, choosing, closing, extended, kernels, linking, relational, scan, scoring, stateful
 from hewn.plans.registry import ORACLE_SQL, QUERIES
 
-__all__ = ["FLAGSHIP", "ORACLE_SQL", "QUERIES", "analysis", "choosing", "closing", "extended", "kernels", "relational", "scan", "scoring", "stateful"]
+__all__ = ["FLAGSHIP", "ORACLE_SQL", "QUERIES", "analysis", "choosing", "closing", "extended", "kernels", "linking", "relational", "scan", "scoring", "stateful"]
 
 
 def FLAGSHIP(spark, d):

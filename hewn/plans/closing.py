@@ -64,16 +64,6 @@ def d24_cluster_quality(spark, d):
     return s.groupBy("label").agg(F.count("*").alias("size"), F.round(F.sum("d2"), 6).alias("inertia"), F.round(r, 6).alias("radius"), F.round(F.count("*") / (1 + r), 6).alias("density"))
 
 
-@query("""
-WITH l AS (SELECT user_id, event_type, value, lag(event_type) OVER w AS p1, lag(event_type, 2) OVER w AS p2 FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id))
-SELECT event_type AS strategy, count(*) AS events, count(*) FILTER (WHERE event_type = p2 AND event_type <> p1) AS oscillations, round(avg(value), 6) AS mean FROM l GROUP BY CUBE (event_type)""")
-def d26_demotion_analytics(spark, d):
-    w = Window.partitionBy("user_id").orderBy("ts", "event_id")
-    e = table(spark, d, "events").select("event_type", "value", F.lag("event_type").over(w).alias("p1"), F.lag("event_type", 2).over(w).alias("p2"))
-    back = F.count_if((F.col("event_type") == F.col("p2")) & (F.col("event_type") != F.col("p1")))
-    return e.cube(F.col("event_type").alias("strategy")).agg(F.count("*").alias("events"), back.alias("oscillations"), F.round(F.avg("value"), 6).alias("mean"))
-
-
 @query("""SELECT row_id, '{"end_line":' || end_line || ',"id":"' || id || '","start_line":' || start_line || '}' AS canonical FROM chunks WHERE id IS NOT NULL AND end_line IS NOT NULL""")
 def h25_canonical_json(spark, d):
     c = table(spark, d, "chunks").filter("id is not null and end_line is not null")

@@ -47,12 +47,6 @@ def d20_rater_bias(spark, d):
     return q.groupBy("annotator").agg(F.count("*").alias("k"), F.round(F.avg("c"), 6).alias("mean"), F.round(F.stddev_pop("c"), 6).alias("std"), F.round(F.corr("c", "n"), 6).alias("by_length")).filter("k >= 5").withColumnRenamed("k", "n")
 
 
-@query(f"""SELECT repo_name, arg_max(language, n * 1000 + ascii(language)) AS top_language, CAST(sum(n) AS BIGINT) AS chunks, CAST(sum(tokens) AS BIGINT) AS tokens FROM (SELECT repo_name, lower(regexp_extract(rel_path, '\\.([A-Za-z0-9]+)$', 1)) AS language, count(*) AS n, sum({TOK}) AS tokens FROM chunks GROUP BY 1, 2) GROUP BY 1""")
-def d29_repository_profile(spark, d):
-    c = table(spark, d, "chunks").groupBy("repo_name", paths.extension(F.col("rel_path")).alias("ext")).agg(F.count("*").alias("n"), F.sum(text.chunk_tokens()).alias("t"))
-    return c.groupBy("repo_name").agg(F.max_by("ext", F.col("n") * 1000 + F.ascii("ext")).alias("top_language"), F.sum("n").alias("chunks"), F.sum("t").alias("tokens"))
-
-
 @query(f"""
 WITH c AS (SELECT repo_name, row_id, CASE WHEN lower(kind) IN ('main', 'class') THEN 'core' WHEN lower(kind) = 'import' THEN 'config' ELSE 'general' END AS category, {TOK} AS tokens, coalesce(centrality_score, 0) AS s FROM chunks),
 q AS (SELECT *, CASE category WHEN 'core' THEN 800 WHEN 'config' THEN 200 ELSE 1000 END AS quota, sum(tokens) OVER (PARTITION BY repo_name, category ORDER BY s DESC, row_id ROWS UNBOUNDED PRECEDING) AS cum FROM c)

@@ -17,24 +17,6 @@ TOK = text.CHUNK_TOKENS_SQL
 
 # ---- joins
 
-@query(f"""
-WITH i AS (SELECT DISTINCT file_id, unnest(regexp_extract_all(content, '(?m)^(?:from|import|use)\\s+([A-Za-z_][A-Za-z0-9_]*)', 1)) AS module FROM chunks WHERE lower(kind) = 'import' AND content IS NOT NULL),
-f AS ({FILES_SQL}), p AS (SELECT DISTINCT file_id, unnest(string_split(regexp_replace(path, '\\.[A-Za-z0-9]+$', ''), '/')) AS part FROM f),
-m AS (SELECT i.file_id AS src, i.module, p.file_id AS dst, row_number() OVER (PARTITION BY i.file_id, i.module ORDER BY p.file_id) AS rn FROM i JOIN p ON i.module = p.part AND i.file_id <> p.file_id)
-SELECT src, module, dst FROM m WHERE rn <= 5""")
-def c1_import_resolution(spark, d):
-    """Imports resolved to at most five files with a path part of that name, in file order; an equi join on parts, not a scan of all pairs."""
-    c = table(spark, d, "chunks").filter("lower(kind) = 'import' and content is not null")
-    found = F.regexp_extract_all("content", F.lit(r"(?m)^(?:from|import|use)\s+([A-Za-z_][A-Za-z0-9_]*)"), F.lit(1))
-    i = c.select(F.col("file_id").alias("src"), F.explode(found).alias("module")).distinct()
-    stem = F.regexp_replace("path", r"\.[A-Za-z0-9]+$", "")
-    p = files(spark, d).select(F.col("file_id").alias("dst"), F.explode(F.split(stem, "/")).alias("module")).distinct()
-    # the five first files of each part (and one more, should a file import itself) are enough for every importer
-    w = Window.partitionBy("module").orderBy("dst")
-    first = p.withColumn("n", F.row_number().over(w)).filter("n <= 6").drop("n")
-    rank = Window.partitionBy("src", "module").orderBy("dst")
-    return i.join(first, "module").filter("src <> dst").withColumn("rn", F.row_number().over(rank)).filter("rn <= 5").select("src", "module", "dst")
-
 
 @query("""
 WITH e AS (SELECT c.file_id AS src, unnest(c.dependencies).target AS target FROM chunks c), n AS (SELECT id, min(file_id) AS dst FROM chunks WHERE id IS NOT NULL GROUP BY 1)
@@ -46,17 +28,6 @@ def c4_dependency_edges(spark, d):
     return e.join(n, "id").filter("src <> dst").select("src", "dst").distinct()
 
 
-@query(f"""
-WITH f AS ({FILES_SQL}), s AS (SELECT file_id, lower(regexp_extract(path, '([^/]*)\\.[A-Za-z0-9]+$', 1)) AS stem FROM f),
-t AS (SELECT file_id AS test, regexp_replace(stem, '_test$', '') AS stem FROM s WHERE stem LIKE '%\\_test' ESCAPE '\\')
-SELECT t.test, count(s.file_id) AS code FROM t LEFT JOIN s ON s.stem = t.stem GROUP BY 1""")
-def c6_test_links(spark, d):
-    stem = F.lower(F.regexp_extract("path", r"([^/]*)\.[A-Za-z0-9]+$", 1))
-    s = files(spark, d).select("file_id", stem.alias("stem"))
-    t = s.filter(F.col("stem").endswith("_test")).select(F.col("file_id").alias("test"), F.regexp_replace("stem", "_test$", "").alias("stem"))
-    return t.join(s, "stem", "left").groupBy("test").agg(F.count("file_id").alias("code"))
-
-
 @query("""
 WITH m AS (SELECT pack_id, variant_id, avg(total_tokens) AS tokens FROM selection_results WHERE total_tokens IS NOT NULL GROUP BY 1, 2)
 SELECT a.pack_id, round(a.tokens, 6) AS control, round(b.tokens, 6) AS treatment, round(b.tokens - a.tokens, 6) AS diff FROM m a JOIN m b USING (pack_id) WHERE a.variant_id = 'v0c_bm25_baseline' AND b.variant_id = 'coverage_enhanced'""")
@@ -119,25 +90,6 @@ def c19_similar_questions(spark, d):
 
 # ---- aggregations
 
-@query("""
-SELECT repo_name, count(DISTINCT file_id) AS files, CAST(sum(change_count) AS BIGINT) AS commits, max(snapshot_at) AS last_seen, CAST(sum(lines_added) AS BIGINT) AS added, CAST(sum(lines_deleted) AS BIGINT) AS deleted
-FROM git_files GROUP BY 1""")
-def d1_change_frequency(spark, d):
-    return table(spark, d, "git_files").groupBy("repo_name").agg(
-        F.countDistinct("file_id").alias("files"), F.sum("change_count").alias("commits"), F.max("snapshot_at").alias("last_seen"), F.sum("lines_added").alias("added"), F.sum("lines_deleted").alias("deleted")
-    )
-
-
-@query("""
-WITH e AS (SELECT DISTINCT file_id AS src, unnest(dependencies).target AS dst FROM chunks), o AS (SELECT src, count(*) AS n FROM e GROUP BY 1), i AS (SELECT dst, count(*) AS n FROM e GROUP BY 1)
-SELECT (SELECT count(*) FROM e) AS edges, (SELECT count(*) FROM o) AS sources, (SELECT count(*) FROM i) AS targets, (SELECT max(n) FROM o) AS max_out, (SELECT max(n) FROM i) AS max_in,
- round((SELECT avg(n) FROM o), 6) AS avg_out, round((SELECT avg(n) FROM i), 6) AS avg_in""")
-def d5_graph_stats(spark, d):
-    e = table(spark, d, "chunks").select(F.col("file_id").alias("src"), F.explode("dependencies").alias("x")).select("src", F.col("x.target").alias("dst")).distinct()
-    o = e.groupBy("src").count().agg(F.sum("count").alias("edges"), F.count("*").alias("sources"), F.max("count").alias("max_out"), F.round(F.avg("count"), 6).alias("avg_out"))
-    i = e.groupBy("dst").count().agg(F.count("*").alias("targets"), F.max("count").alias("max_in"), F.round(F.avg("count"), 6).alias("avg_in"))
-    return o.crossJoin(i)
-
 
 @query("""SELECT lower(kind) AS kind, count(*) FILTER (WHERE m.mode = 'full') AS full_n, count(*) FILTER (WHERE m.mode = 'signature') AS signature_n, count(*) AS n
 FROM (SELECT unnest(map_entries(chunk_modes)).key AS id, unnest(map_entries(chunk_modes)).value AS mode FROM selection_results) m JOIN (SELECT id, min(kind) AS kind FROM chunks GROUP BY 1) c ON m.id = c.id GROUP BY 1""")
@@ -227,16 +179,6 @@ def d21_repeated_chunks(spark, d):
     return c.join(last, F.col("row_id") == F.col("keep"), "left_anti").select("row_id")
 
 
-@query("""
-SELECT count(*) AS n, count(*) FILTER (WHERE total_tokens IS NULL) AS missing, count(*) FILTER (WHERE coverage_score < 0 OR coverage_score > 1) AS out_of_range,
- round(0.4 * greatest(0, 100 - 5 * count(*) FILTER (WHERE total_tokens IS NULL)) + 0.3 * (100.0 * count(*) FILTER (WHERE coverage_score BETWEEN 0 AND 1) / count(*)), 1)::DOUBLE AS score FROM selection_results""")
-def d22_data_quality(spark, d):
-    ok = F.count_if(F.col("coverage_score").between(0, 1))
-    missing = F.count_if(F.col("total_tokens").isNull())
-    score = 0.4 * F.greatest(F.lit(0), 100 - 5 * missing) + 0.3 * (100.0 * ok / F.count("*"))
-    return table(spark, d, "selection_results").agg(F.count("*").alias("n"), missing.alias("missing"), F.count_if((F.col("coverage_score") < 0) | (F.col("coverage_score") > 1)).alias("out_of_range"), F.round(score, 1).alias("score"))
-
-
 @query("""SELECT variant_id, round(avg(iterations), 6) AS mean, round(median(iterations), 6) AS median, round(stddev_samp(iterations), 6) AS std, CAST(min(iterations) AS BIGINT) AS low, CAST(max(iterations) AS BIGINT) AS high FROM selection_results GROUP BY 1""")
 def d23_variant_statistics(spark, d):
     x = "iterations"

@@ -49,3 +49,36 @@ def relevant_diffs(rows: DataFrame, scores: DataFrame, least: float, most_chars:
     """Diffs of files whose score reaches ``least`` (no score counts 0), within a size and cut to a number of lines."""
     kept = rows.filter(F.length("diff") <= most_chars).join(scores, "file_path", "left").filter(F.coalesce("score", F.lit(0.0)) >= least)
     return kept.withColumn("diff", F.array_join(F.slice(F.split("diff", "\n"), 1, most_lines), "\n"))
+
+
+def numstat(rows: DataFrame, line: str) -> DataFrame:
+    """Adds added, deleted and path from lines of a history listing (added, deleted, path, tab-separated). Binary files ("-") count no lines; other lines are dropped."""
+    parts = F.split(line, "\t")
+    number = lambda k: F.coalesce(F.try_to_number(F.get(parts, F.lit(k)), F.lit("9999999999999")).cast("long"), F.lit(0).cast("long"))
+    return rows.filter(F.col(line).rlike(r"^(\d+|-)\t(\d+|-)\t")).withColumn("added", number(0)).withColumn("deleted", number(1)).withColumn("path", F.get(parts, F.lit(2)))
+
+
+def git_log(spark: SparkSession, path: str) -> DataFrame:
+    """(commit, author, at, path, added, deleted) from a landed ``git log --numstat --format=%x1e%H%x1f%an%x1f%at`` listing, one record per commit."""
+    raw = spark.read.option("lineSep", "\x1e").text(path).filter("value <> ''")
+    head = F.split(F.element_at(F.split("value", "\n"), 1), "\x1f")
+    lines = raw.select(head[0].alias("commit"), head[1].alias("author"), head[2].cast("long").alias("at"), F.explode(F.split("value", "\n")).alias("line"))
+    return numstat(lines, "line").select("commit", "author", "at", "path", "added", "deleted")
+
+
+def manifest(spark: SparkSession, path: str) -> DataFrame:
+    """(path) of a landed ``git ls-files -z`` listing; empty names are dropped."""
+    return spark.read.option("lineSep", "\0").text(path).filter("value <> ''").select(F.col("value").alias("path"))
+
+
+def config(text: str) -> dict:
+    """Settings from JSON, native or in the nested form with input, output, include and ignore, which is recognised and converted; missing values keep their defaults."""
+    import json
+
+    raw = json.loads(text) if text and text.strip() else {}
+    out = {"include": [], "exclude": [], "max_bytes": 50 << 20, "output": "pack", "form": "markdown", "budget": 128_000}
+    if any(isinstance(raw.get(k), dict) for k in ("output", "ignore", "input")):
+        out |= {"include": raw.get("include", []), "exclude": raw.get("ignore", {}).get("customPatterns", [])}
+        nested = {"max_bytes": raw.get("input", {}).get("maxFileSize"), "output": raw.get("output", {}).get("filePath"), "form": raw.get("output", {}).get("style")}
+        return out | {k: v for k, v in nested.items() if v is not None}
+    return out | {k: raw[k] for k in out if raw.get(k) is not None}
