@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from hewn.functions import paths, text
-from hewn.operators import budget, stats
+from hewn.operators import stats
+from hewn.operators.neighbours import nearest
 from hewn.operators.prefix import position
 from hewn.plans.registry import query
 from hewn.plans.scan import FILES_SQL, files
@@ -38,18 +39,8 @@ def c14_knn_whole(spark, d, block: int = 4096):
 
 
 def _nearest(spark, d, k: int, block: int):
-    """The queries are broadcast in blocks of about ``block`` rows."""
-    v = table(spark, d, "embeddings").select("vec_id", "embedding")
-    asked = v.filter("vec_id % 20 = 0")
-    parts = -(-asked.count() // block) or 1
-    w = Window.partitionBy("vec_id").orderBy(F.desc("sim"), "other")
-    out = None
-    for p in range(parts):
-        mine = asked.filter(F.pmod(F.xxhash64("vec_id"), F.lit(parts)) == p).select("vec_id", F.col("embedding").alias("q"))
-        sim = F.broadcast(mine).join(v.select(F.col("vec_id").alias("other"), "embedding"), F.col("vec_id") != F.col("other"))
-        top = sim.select("vec_id", "other", F.round(text.cosine(F.col("q"), F.col("embedding")), 6).alias("sim")).withColumn("place", F.row_number().over(w).cast("long")).filter(F.col("place") <= k)
-        out = top if out is None else out.unionByName(top)
-    return out
+    v = table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vec"))
+    return nearest(v.filter("id % 20 = 0"), v, k, block).withColumnRenamed("id", "vec_id")
 
 
 @query("""

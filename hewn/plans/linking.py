@@ -8,10 +8,12 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from hewn.functions import paths, text
+from hewn.operators.neighbours import nearest
 from hewn.plans.analysis import EDGES_SQL, _graph
 from hewn.plans.kernels import _CLUSTERS, VECTORS_SQL, clusters, mean_vector, unit_vectors
 from hewn.plans.registry import query
 from hewn.plans.scan import FILES_SQL, files
+from hewn.session import cut
 from hewn.sources.tables import table
 
 TOK = text.CHUNK_TOKENS_SQL
@@ -211,32 +213,34 @@ def k3_kmeans_global(spark, d):
 
 _TAIL = f"""{_CLUSTERS}, cs AS (SELECT v.chunk_id, u, cluster, list_dot_product(u, p2) / sqrt(list_dot_product(p2, p2)) AS cover FROM v JOIN near USING (chunk_id) JOIN cm USING (cluster)), tail AS (SELECT chunk_id, u FROM cs WHERE round(cover, 6) < 0.5),
 k AS (SELECT CAST(greatest(1, floor(sqrt((SELECT count(*) FROM v)) / 2)) AS BIGINT) AS k),
-dens AS (SELECT chunk_id, round(1 / (1 + avg(1 - s)), 6) AS density FROM (SELECT t.chunk_id, list_dot_product(t.u, v.u) AS s FROM tail t JOIN v ON v.chunk_id <> t.chunk_id QUALIFY row_number() OVER (PARTITION BY t.chunk_id ORDER BY round(list_dot_product(t.u, v.u), 6) DESC, v.chunk_id) <= 10) GROUP BY 1),
+dens AS (SELECT chunk_id, round(1 / (1 + avg(1 - s)), 6) AS density FROM (SELECT t.chunk_id, round(list_dot_product(t.u, v.u), 6) AS s FROM tail t JOIN v ON v.chunk_id <> t.chunk_id QUALIFY row_number() OVER (PARTITION BY t.chunk_id ORDER BY round(list_dot_product(t.u, v.u), 6) DESC, v.chunk_id) <= 10) GROUP BY 1),
 med AS (SELECT chunk_id AS medoid, density FROM dens QUALIFY row_number() OVER (ORDER BY density DESC, chunk_id) <= (SELECT k FROM k))"""
 
 
-def _tail(spark, d, least: float = 0.5):
-    """Vectors whose cosine to their cluster's mean is under ``least``."""
-    k = clusters(spark, d)
+def _tail(k, least: float = 0.5):
+    """Vectors of the clustered ``k`` whose cosine to their cluster's mean is under ``least``."""
     j = k.join(mean_vector(k, "cluster", "u", "p2"), "cluster")
     return j.withColumn("cover", F.round(text.cosine(F.col("u"), F.col("p2")), 6)).filter(F.col("cover") < least).select("chunk_id", "u")
 
 
-def medoids(spark, d, near: int = 10):
-    """(medoid, density, u): the densest tail vectors, by the mean distance to their ten nearest; half the root of the number of vectors. Tail vectors are the stated queries against all."""
-    v, t = unit_vectors(spark, d), _tail(spark, d)
+def medoids(every, near: int = 10):
+    """(medoid, density, u) of the clustered vectors ``every``: the densest tail vectors, by the mean distance to their ten nearest; half the root of the number of vectors. Tail vectors are the stated queries against all."""
+    v, t = every.select("chunk_id", "u"), cut(_tail(every))
     k = max(1, int(math.sqrt(v.count()) / 2))
-    s = t.join(v.select(F.col("chunk_id").alias("o"), F.col("u").alias("w")), F.col("chunk_id") != F.col("o")).select("chunk_id", "o", text.cosine(F.col("u"), F.col("w")).alias("s"))
-    w = Window.partitionBy("chunk_id").orderBy(F.desc(F.round("s", 6)), "o")
-    dens = s.withColumn("n", F.row_number().over(w)).filter(F.col("n") <= near).groupBy("chunk_id").agg(F.round(1 / (1 + F.avg(1 - F.col("s"))), 6).alias("density"))
+    vec = lambda df: df.select(F.col("chunk_id").alias("id"), F.col("u").alias("vec"))
+    dens = nearest(vec(t), vec(v), near).groupBy(F.col("id").alias("chunk_id")).agg(F.round(1 / (1 + F.avg(1 - F.col("sim"))), 6).alias("density"))
     return dens.orderBy(F.desc("density"), "chunk_id").limit(k).join(t, "chunk_id").select(F.col("chunk_id").alias("medoid"), "density", "u")
 
 
 @query(f"WITH {_TAIL}, mem AS (SELECT medoid, count(*) AS members FROM med JOIN v m ON m.chunk_id = medoid JOIN v ON list_dot_product(m.u, v.u) >= 0.2 GROUP BY 1) SELECT medoid, density, members FROM med JOIN mem USING (medoid)")
 def k4_medoids(spark, d):
     """Medoids of the vectors that their clusters cover badly, with the number of vectors within cosine distance .8. They are half the root of the number of vectors, so they are broadcast."""
-    m = medoids(spark, d)
-    v = unit_vectors(spark, d).select("chunk_id", F.col("u").alias("w"))
+    return _medoid_members(cut(clusters(spark, d)))
+
+
+def _medoid_members(k):
+    m = medoids(k)
+    v = k.select("chunk_id", F.col("u").alias("w"))
     mem = F.broadcast(m).join(v, text.cosine(F.col("u"), F.col("w")) >= 0.2).groupBy("medoid", "density").agg(F.count("*").alias("members"))
     return mem.select("medoid", "density", "members")
 
@@ -245,10 +249,10 @@ def k4_medoids(spark, d):
 SELECT 'kmeans' AS source, cluster AS name, members FROM cm UNION ALL SELECT 'medoid', medoid, count(*) FROM med JOIN v m ON m.chunk_id = medoid JOIN v ON list_dot_product(m.u, v.u) >= 0.2, n WHERE mixed GROUP BY 2""")
 def k5_mixed_centroids(spark, d):
     """Cluster means, and medoids beside them where a tenth of the vectors or more is in the tail."""
-    k = clusters(spark, d)
+    k = cut(clusters(spark, d))
     means = k.groupBy(F.col("cluster").alias("name")).agg(F.count("*").alias("members")).select(F.lit("kmeans").alias("source"), "name", "members")
-    t = _tail(spark, d).agg(F.count("*").alias("t")).crossJoin(k.agg(F.count("*").alias("v"))).filter("t >= 0.1 * v").select(F.lit(1).alias("one"))
-    return means.unionByName(k4_medoids(spark, d).join(t).select(F.lit("medoid").alias("source"), F.col("medoid").alias("name"), "members"))
+    t = _tail(k).agg(F.count("*").alias("t")).crossJoin(k.agg(F.count("*").alias("v"))).filter("t >= 0.1 * v").select(F.lit(1).alias("one"))
+    return means.unionByName(_medoid_members(k).join(t).select(F.lit("medoid").alias("source"), F.col("medoid").alias("name"), "members"))
 
 
 @query(f"""WITH {VECTORS_SQL}, c AS (SELECT id, min(repo_name) AS repo_name FROM chunks WHERE id IS NOT NULL GROUP BY 1), p AS (SELECT chunk_id, repo_name, u FROM v JOIN c ON c.id = v.chunk_id WHERE repo_name IS NOT NULL), r AS (SELECT repo_name, arg_min(u, chunk_id) AS q FROM p GROUP BY 1)
