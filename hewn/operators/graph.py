@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from pyspark.storagelevel import StorageLevel
+
 from hewn.session import cut
 
 CUT_EVERY = 5
@@ -39,24 +41,31 @@ def pagerank(
         return nodes.withColumn("rank", F.lit(0.0))
     e = clean_edges(edges)
     e = e.join(nodes.select(F.col("node").alias("src")), "src", "left_semi").join(nodes.select(F.col("node").alias("dst")), "dst", "left_semi")
-    e = cut(e.join(e.groupBy("src").agg((1.0 / F.count("*")).alias("w")), "src"))
+    parts = max(1, int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    # every node's outgoing edges and restart share lie in one partition by node, in which all steps find them:
+    # a step shuffles one number per node and partition of the edges, and neither edges nor ranks
     base = nodes.withColumn("base", F.lit((1 - damping) / n))
     if teleport is not None:
         base = nodes.join(teleport, "node", "left").select("node", ((1 - damping) * F.coalesce("share", F.lit(0.0))).alias("base"))
-    base = cut(base)
-    rank = nodes.withColumn("rank", F.lit(1.0 / n))
-    if start is not None:
-        rank = nodes.join(start, "node", "left").withColumn("rank", F.coalesce("rank", F.lit(0.0)))
+    first = nodes.withColumn("first", F.lit(1.0 / n)) if start is None else nodes.join(start, "node", "left").select("node", F.coalesce("rank", F.lit(0.0)).alias("first"))
+    base = base.join(first, "node").repartition(parts, "node").persist(StorageLevel.MEMORY_AND_DISK)
+    heavy = e.groupBy("src").agg((1.0 / F.count("*")).alias("w"))
+    e = e.join(heavy, "src").repartition(parts, "src").persist(StorageLevel.MEMORY_AND_DISK)
+    rank = base.select("node", F.col("first").alias("rank"))
     outs = e.select(F.col("src").alias("node")).distinct() if dangling else None
     for step in range(steps):
         got = e.join(rank.withColumnRenamed("node", "src"), "src").groupBy(F.col("dst").alias("node")).agg(F.sum(F.col("rank") * F.col("w")).alias("got"))
         new = F.col("base") + damping * F.coalesce("got", F.lit(0.0))
         if dangling:
-            lost = rank.join(outs, "node", "left_anti").agg(F.coalesce(F.sum("rank"), F.lit(0.0))).first()[0]
-            new = new + damping * lost / n
-        rank = base.join(got, "node", "left").select("node", new.alias("rank"))
-        if (step + 1) % CUT_EVERY == 0 or dangling:
+            lost = rank.join(outs, "node", "left_anti").agg(F.coalesce(F.sum("rank"), F.lit(0.0)))
+            new = new + damping * F.col("lost") / n
+            rank = base.join(got, "node", "left").crossJoin(F.broadcast(lost.toDF("lost"))).select("node", new.alias("rank"))
+        else:
+            rank = base.join(got, "node", "left").select("node", new.alias("rank"))
+        if (step + 1) % CUT_EVERY == 0 or step + 1 == steps or dangling:
             rank = cut(rank, looped=True)
+    base.unpersist()
+    e.unpersist()
     return rank
 
 
@@ -97,7 +106,7 @@ def shuffled(edges: DataFrame, seed: int) -> DataFrame:
     """A control graph: each edge keeps its source and gets the target of the edge at its place in another hash order; degrees stay alike."""
     from hewn.operators.prefix import position
 
-    key = lambda s: F.xxhash64("src", "dst", F.lit(s))
+    key = lambda s: F.md5(F.concat(F.col("src").cast("string"), F.lit("-"), F.col("dst").cast("string"), F.lit(f":{s}")))
     one = lambda s: position(edges.select("src", "dst", F.lit(0).alias("g"), key(s).alias("k")), ["g"], [F.col("k"), F.col("src"), F.col("dst")], "i")
     return one(seed).select("i", "src").join(one(seed + 1).select("i", "dst"), "i").select("src", "dst")
 

@@ -25,13 +25,14 @@ def _graph(spark, d):
     return table(spark, d, "chunks").select(F.col("file_id").alias("node")).distinct(), c4_dependency_edges(spark, d)
 
 
-def _rank_sql(edges: str, steps: int = 10, base: str = "0.15 / (SELECT count(*) FROM nodes)", more: str = "", first: str = "1.0 / (SELECT count(*) FROM nodes)") -> str:
+def _rank_sql(edges: str, steps: int = 10, base: str = "0.15 / (SELECT count(*) FROM nodes)", more: str = "", first: str = "1.0 / (SELECT count(*) FROM nodes)", lost: bool = False, last: str = "SELECT node, round(CAST(r AS DOUBLE), 9) AS rank FROM {r}") -> str:
     parts = [f"WITH {EDGES_SQL}, e AS ({edges}), o AS (SELECT src, count(*) AS n FROM e GROUP BY 1){more}, r0 AS (SELECT node, {first} AS r FROM nodes)"]
     for i in range(steps):
+        spread = f" + 0.85 * (SELECT coalesce(sum(r), 0) FROM r{i} WHERE node NOT IN (SELECT src FROM o)) / (SELECT count(*) FROM nodes)" if lost else ""
         parts.append(
-            f"r{i + 1} AS (SELECT node, ({base}) + 0.85 * coalesce(g, 0) AS r FROM nodes LEFT JOIN (SELECT e.dst AS d, sum(r{i}.r / o.n) AS g FROM e JOIN r{i} ON r{i}.node = e.src JOIN o ON o.src = e.src GROUP BY 1) x ON x.d = nodes.node)"
+            f"r{i + 1} AS (SELECT node, ({base}) + 0.85 * coalesce(g, 0){spread} AS r FROM nodes LEFT JOIN (SELECT e.dst AS d, sum(r{i}.r / o.n) AS g FROM e JOIN r{i} ON r{i}.node = e.src JOIN o ON o.src = e.src GROUP BY 1) x ON x.d = nodes.node)"
         )
-    return ", ".join(parts) + f" SELECT node, round(CAST(r AS DOUBLE), 9) AS rank FROM r{steps}"
+    return ", ".join(parts) + " " + last.format(r=f"r{steps}")
 
 
 @query(_rank_sql("SELECT src, dst FROM e0"))
@@ -46,11 +47,11 @@ def i2_pagerank_reverse(spark, d):
     return graph.pagerank(n, graph.reversed_edges(e)).select("node", F.round("rank", 9).alias("rank"))
 
 
-@query()
+@query(_rank_sql("SELECT src, dst FROM e0", steps=20, lost=True, last="SELECT node, round(CAST(r / (SELECT max(r) FROM {r}) AS DOUBLE), 7) AS rank FROM {r}"))
 def i3_pagerank_dangling(spark, d):
     n, e = _graph(spark, d)
     r = graph.pagerank(n, e, dangling=True, steps=20)
-    return r.crossJoin(r.agg(F.max("rank").alias("m"))).select("node", F.round(F.col("rank") / F.col("m"), 9).alias("rank"))
+    return r.crossJoin(r.agg(F.max("rank").alias("m"))).select("node", F.round(F.col("rank") / F.col("m"), 7).alias("rank"))
 
 
 _SEED = """, s AS (SELECT DISTINCT file_id AS node FROM chunks WHERE lower(kind) = 'main'),
@@ -65,7 +66,11 @@ def i4_personalised(spark, d):
     return graph.pagerank(n, e, teleport=graph.teleport_to(n, e, seeds)).select("node", F.round("rank", 9).alias("rank"))
 
 
-@query()
+_MAIN = ", s AS (SELECT DISTINCT file_id AS node FROM chunks WHERE lower(kind) = 'main')"
+_SHARE = "CASE WHEN nodes.node IN (SELECT node FROM s) THEN 1.0 / (SELECT count(*) FROM s) ELSE 0 END"
+
+
+@query(_rank_sql("SELECT src, dst FROM e0", base=f"0.15 * {_SHARE}", more=_MAIN, first=_SHARE))
 def i5_seeded(spark, d):
     n, e = _graph(spark, d)
     s = table(spark, d, "chunks").filter("lower(kind) = 'main'").select(F.col("file_id").alias("node")).distinct()
@@ -73,7 +78,14 @@ def i5_seeded(spark, d):
     return graph.pagerank(n, e, teleport=share, start=share.withColumnRenamed("share", "rank")).select("node", F.round("rank", 9).alias("rank"))
 
 
-@query()
+_ADDED = ", added AS (SELECT DISTINCT src, dst FROM (SELECT file_id AS src, unnest(list_filter(dependencies, lambda x: x.type = 'inheritance')).target AS target FROM chunks) x JOIN (SELECT id, min(file_id) AS dst FROM chunks GROUP BY 1) n ON x.target = n.id WHERE src <> dst)"
+_SWEEPS = ", o2 AS (SELECT src, count(*) AS n FROM e0 GROUP BY 1), touched AS (SELECT src AS node FROM added UNION SELECT dst FROM added), affected AS (SELECT node FROM touched UNION SELECT dst FROM e0 WHERE src IN (SELECT node FROM touched)), q0 AS (SELECT node, r FROM r10)" + "".join(
+    f", q{i + 1} AS (SELECT q{i}.node, CASE WHEN q{i}.node IN (SELECT node FROM affected) THEN 0.15 / (SELECT count(*) FROM nodes) + 0.85 * coalesce(g, 0) ELSE q{i}.r END AS r FROM q{i} LEFT JOIN (SELECT e0.dst AS d, sum(p.r / o2.n) AS g FROM e0 JOIN q{i} p ON p.node = e0.src JOIN o2 ON o2.src = e0.src GROUP BY 1) x ON x.d = q{i}.node)"
+    for i in range(5)
+)
+
+
+@query(_rank_sql("SELECT src, dst FROM e0 EXCEPT SELECT src, dst FROM added", more="", last=_SWEEPS + " SELECT node, round(CAST(r AS DOUBLE), 9) AS rank FROM q5").replace(", e AS (", _ADDED + ", e AS (", 1).replace(" , o2", ", o2", 1))
 def i6_incremental(spark, d):
     """The graph without its import edges, then with them added: only their ends and successors are computed again."""
     n, e = _graph(spark, d)
@@ -86,7 +98,10 @@ def i6_incremental(spark, d):
     return graph.incremental_pagerank(n, graph.apply_delta(before, added, added.limit(0)), old, touched).select("node", F.round("rank", 9).alias("rank"))
 
 
-@query()
+_SHUFFLED = "SELECT a.src, b.dst FROM (SELECT src, row_number() OVER (ORDER BY md5(src || '-' || dst || ':7'), src, dst) AS i FROM e0) a JOIN (SELECT dst, row_number() OVER (ORDER BY md5(src || '-' || dst || ':8'), src, dst) AS i FROM e0) b USING (i)"
+
+
+@query(_rank_sql(f"SELECT DISTINCT src, dst FROM ({_SHUFFLED})"))
 def i8_shuffle_control(spark, d):
     n, e = _graph(spark, d)
     return graph.pagerank(n, graph.shuffled(e, 7)).select("node", F.round("rank", 9).alias("rank"))

@@ -68,13 +68,6 @@ def h31_human_bytes(spark, d):
     return g.select("file_id", text.human_bytes(F.col("n")).alias("human"))
 
 
-@query()
-def l13_power(spark, d):
-    """Power of a two-sample test at several effects, for the smaller of the two groups of orders."""
-    n = table(spark, d, "orders").groupBy("o_orderstatus").count().agg(F.min("count")).first()[0] or 0
-    return spark.createDataFrame([(e, int(n), round(stats.power(e, int(n)), 6)) for e in (0.01, 0.02, 0.05, 0.1, 0.2)], "effect double, n long, power double")
-
-
 @query("""
 WITH s AS (SELECT lower(regexp_extract(rel_path, '\\.([A-Za-z0-9]+)$', 1)) AS ext, repo_name, count(DISTINCT file_id) AS n FROM chunks GROUP BY 1, 2)
 SELECT repo_name, ext, CASE WHEN n < 5 AND ext = 'py' THEN 'coverage' WHEN n < 5 THEN 'keyword' WHEN ext IN ('py', 'ts', 'js') THEN 'centrality' ELSE 'diverse' END AS algorithm FROM s""")
@@ -137,9 +130,17 @@ def h26_change_relevance(spark, d):
     return g.crossJoin(g.agg(F.max("n").alias("top"))).select("file_id", F.round(score, 6).alias("relevance"))
 
 
-@query()
+_EDGE_U = "((CAST('0x' || substr(md5(id || ':11'), 1, 7) AS BIGINT) + 1) / 268435458.0)"
+
+
+@query(f"""WITH n AS (SELECT count(DISTINCT file_id) AS n FROM chunks), i AS (SELECT unnest(range(3 * (SELECT n FROM n))) AS id), u AS (SELECT id, {_EDGE_U} AS u, n FROM i, n),
+e AS (SELECT id % n AS src, CAST(floor(u * u * u * n) AS BIGINT) AS far, u, n FROM u) SELECT DISTINCT 'power_law' AS form, src, far AS dst FROM e WHERE src <> far
+UNION SELECT 'clustered', src, CAST(src // 20 * 20 + floor(u * 20) AS BIGINT) AS dst FROM e WHERE src <> CAST(src // 20 * 20 + floor(u * 20) AS BIGINT) AND CAST(src // 20 * 20 + floor(u * 20) AS BIGINT) < n""")
 def a15_synthetic_graph(spark, d):
-    """A seeded dependency graph with a skewed in-degree, as large as the files table, made where it is used."""
-    n = files(spark, d).count()
-    u = (F.pmod(F.xxhash64("id", F.lit(11)), F.lit(1_000_003)) + 1) / 1_000_004.0
-    return spark.range(3 * n).select((F.col("id") % max(1, n)).alias("src"), F.floor(F.pow(u, F.lit(3.0)) * n).cast("long").alias("dst")).filter("src <> dst").distinct()
+    """Seeded dependency graphs as large as the files table, made where they are used: one with a skewed in-degree, one in clusters of twenty."""
+    n = table(spark, d, "chunks").select("file_id").distinct().count()
+    u = (F.conv(F.substring(F.md5(F.concat(F.col("id").cast("string"), F.lit(":11"))), 1, 7), 16, 10).cast("long") + 1) / 268435458.0
+    e = spark.range(3 * n).select((F.col("id") % max(1, n)).alias("src"), u.alias("u"))
+    far = e.select(F.lit("power_law").alias("form"), "src", F.floor(F.col("u") * F.col("u") * F.col("u") * n).cast("long").alias("dst"))
+    near = e.select(F.lit("clustered").alias("form"), "src", (F.floor(F.col("src") / 20) * 20 + F.floor(F.col("u") * 20)).cast("long").alias("dst")).filter(F.col("dst") < n)
+    return far.unionByName(near).filter("src <> dst").distinct()

@@ -43,15 +43,23 @@ def m3_bandit_posterior(spark, d):
     return r.groupBy("arm").agg(F.count("*").alias("trials"), F.round(1 + F.sum(F.when(win, F.col("r")).otherwise(0.0)), 6).alias("alpha"), F.round(1 + F.sum(F.when(win, 0.0).otherwise(1 - F.col("r"))), 6).alias("beta"))
 
 
-@query()
+_ARM_U = "((CAST('0x' || substr(md5(arm || ':{s}'), 1, 7) AS BIGINT) + 1) / 268435457.0)"
+
+
+@query(f"""
+WITH r AS (SELECT event_type AS arm, value / (SELECT max(value) FROM events) AS reward FROM events WHERE value IS NOT NULL),
+p AS (SELECT arm, count(*) AS trials, round(1 + sum(CASE WHEN reward > 0.5 THEN reward ELSE 0 END), 6) AS a, round(1 + sum(CASE WHEN reward > 0.5 THEN 0 ELSE 1 - reward END), 6) AS b, avg(reward) AS context FROM r GROUP BY 1)
+SELECT arm, round(a / (a + b) + sqrt(-2 * ln({_ARM_U.format(s=1)})) * cos(2 * pi() * {_ARM_U.format(s=2)}) * sqrt(a * b / ((a + b) * (a + b) * (a + b + 1))) + 0.3 * context + 0.1 / sqrt(trials + 1), 6) AS score FROM p""")
 def m3_bandit_choice(spark, d):
-    """One seeded Thompson draw per arm (mean plus scaled normal deviate) with an exploration bonus."""
-    p = m3_bandit_posterior(spark, d)
+    """One seeded Thompson draw per arm (mean plus scaled normal deviate), a context term (the arm's mean reward, .3) and an exploration bonus."""
+    e = table(spark, d, "events").filter("value is not null")
+    context = e.crossJoin(e.agg(F.max("value").alias("m"))).groupBy(F.col("event_type").alias("arm")).agg(F.avg(F.col("value") / F.col("m")).alias("context"))
+    p = m3_bandit_posterior(spark, d).join(context, "arm")
     n = F.col("alpha") + F.col("beta")
     mean, var = F.col("alpha") / n, F.col("alpha") * F.col("beta") / (n * n * (n + 1))
-    u = lambda s: (F.pmod(F.xxhash64("arm", F.lit(s)), F.lit(1_000_003)) + 1) / 1_000_004.0
+    u = lambda s: (F.conv(F.substring(F.md5(F.concat("arm", F.lit(f":{s}"))), 1, 7), 16, 10).cast("long") + 1) / 268435457.0
     z = F.sqrt(-2 * F.log(u(1))) * F.cos(2 * F.pi() * u(2))
-    return p.select("arm", F.round(mean + z * F.sqrt(var) + 0.1 / F.sqrt(F.col("trials") + 1), 6).alias("score"))
+    return p.select("arm", F.round(mean + z * F.sqrt(var) + 0.3 * F.col("context") + 0.1 / F.sqrt(F.col("trials") + 1), 6).alias("score"))
 
 
 @query(f"""
