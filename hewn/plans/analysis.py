@@ -13,6 +13,7 @@ from hewn.operators import budget, graph, select, stats
 from hewn.operators.prefix import position
 from hewn.plans.registry import query
 from hewn.plans.relational import _paired, _ratings, c4_dependency_edges
+from hewn.session import cut
 from hewn.sources.tables import table
 
 TOK = text.CHUNK_TOKENS_SQL
@@ -178,16 +179,22 @@ q AS (SELECT DISTINCT item_id, unnest(string_split_regex(lower(question), '[^a-z
 s AS (SELECT item_id, doc_id, sum(ln((n - df + 0.5) / (df + 0.5) + 1) * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * len / al))) AS s FROM q JOIN tf USING (term) JOIN df USING (term) JOIN l USING (doc_id), a, n GROUP BY 1, 2),
 r AS (SELECT item_id, doc_id, s, row_number() OVER (PARTITION BY item_id ORDER BY round(s, 6) DESC, doc_id) AS place FROM s)
 SELECT item_id, doc_id, round(CAST(s AS DOUBLE), 6) AS score, place FROM r WHERE place <= 10""")
-def h16_bm25(spark, d):
-    """BM25 of every question against every document that shares a term; ten best documents per question (a top-k report)."""
-    tf = _tf(spark, d)
-    size = tf.groupBy("doc_id").agg(F.sum("tf").alias("len"))
+def h16_bm25(spark, d, most_terms: int = 1_000_000):
+    """BM25 of every question against every document that shares a term; ten best documents per question (a top-k report).
+
+    Lengths come from the rows themselves; only terms that some question has are counted. Up to
+    ``most_terms`` different terms are broadcast, more are joined.
+    """
+    docs = table(spark, d, "documents").filter("text is not null")
+    words = docs.select("doc_id", F.filter(F.split(F.lower("text"), "[^a-z0-9_]+"), lambda x: F.length(x) >= 3).alias("words")).select("doc_id", "words", F.size("words").cast("long").alias("len"))
+    q = table(spark, d, "qa_items").filter("question is not null").select("item_id", F.explode(F.array_distinct(F.split(F.lower("question"), "[^a-z0-9_]+"))).alias("term")).filter(F.length("term") >= 3)
+    terms = cut(q.select("term").distinct())
+    terms = F.broadcast(terms) if terms.count() <= most_terms else terms
+    tf = cut(words.select("doc_id", "len", F.explode("words").alias("term")).join(terms, "term").groupBy("term", "doc_id", "len").agg(F.count("*").alias("tf")))
     df = tf.groupBy("term").agg(F.count("*").alias("df"))
-    q = table(spark, d, "qa_items").filter("question is not null").select("item_id", F.explode(F.array_distinct(F.split(F.lower("question"), "[^a-z0-9_]+"))).alias("term"))
-    wanted = tf.join(q.select("term").distinct(), "term", "left_semi").join(df, "term").join(size, "doc_id")
-    all_ = size.agg(F.avg("len").alias("al"), F.count("*").alias("n"))
+    all_ = words.filter("len > 0").agg(F.avg("len").alias("al"), F.count("*").alias("n"))
     idf = F.log((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1)
-    w = wanted.crossJoin(all_).select("term", "doc_id", (idf * F.col("tf") * 2.5 / (F.col("tf") + 1.5 * (0.25 + 0.75 * F.col("len") / F.col("al")))).alias("w"))
+    w = tf.join(df, "term").crossJoin(F.broadcast(all_)).select("term", "doc_id", (idf * F.col("tf") * 2.5 / (F.col("tf") + 1.5 * (0.25 + 0.75 * F.col("len") / F.col("al")))).alias("w"))
     s = q.join(w, "term").groupBy("item_id", "doc_id").agg(F.round(F.sum("w"), 6).alias("score"))
     place = F.row_number().over(Window.partitionBy("item_id").orderBy(F.desc("score"), "doc_id"))
     return s.withColumn("place", place.cast("long")).filter("place <= 10")
@@ -213,22 +220,19 @@ def j6_density_class_cap(spark, d):
 SELECT repo_name, file_id, tokens FROM (SELECT *, sum(tokens) OVER (PARTITION BY repo_name ORDER BY tokens, file_id ROWS UNBOUNDED PRECEDING) AS cum FROM f) WHERE cum <= 4000""")
 def j12_concat_by_file(spark, d):
     f = table(spark, d, "chunks").groupBy("repo_name", "file_id").agg(F.sum(text.chunk_tokens()).alias("tokens"))
-    r = position(f, ["repo_name"], [F.col("tokens"), F.col("file_id")])
-    return budget.break_greedy(r, "repo_name", "rank", "tokens", 4000).select("repo_name", "file_id", "tokens")
+    return budget.break_in_order(f, "repo_name", [F.col("tokens"), F.col("file_id")], "tokens", 4000).select("repo_name", "file_id", "tokens")
 
 
 @query(f"""SELECT repo_name, row_id FROM (SELECT repo_name, row_id, sum({TOK}) OVER (PARTITION BY repo_name ORDER BY md5(concat(CAST(row_id AS VARCHAR), ':42')), row_id ROWS UNBOUNDED PRECEDING) AS cum FROM chunks) WHERE cum <= 2000""")
 def j14_hash_random(spark, d):
     c = table(spark, d, "chunks").select("repo_name", "row_id", text.chunk_tokens().alias("tokens"), F.md5(F.concat(F.col("row_id").cast("string"), F.lit(":42"))).alias("h"))
-    r = position(c, ["repo_name"], [F.col("h"), F.col("row_id")])
-    return budget.break_greedy(r, "repo_name", "rank", "tokens", 2000).select("repo_name", "row_id")
+    return budget.break_in_order(c, "repo_name", [F.col("h"), F.col("row_id")], "tokens", 2000).select("repo_name", "row_id")
 
 
 @query(f"""SELECT repo_name, row_id FROM (SELECT repo_name, row_id, sum({TOK}) OVER (PARTITION BY repo_name ORDER BY ingested_at DESC, row_id ROWS UNBOUNDED PRECEDING) AS cum FROM chunks) WHERE cum <= 2000""")
 def j15_recency(spark, d):
     c = table(spark, d, "chunks").select("repo_name", "row_id", "ingested_at", text.chunk_tokens().alias("tokens"))
-    r = position(c, ["repo_name"], [F.desc("ingested_at"), F.col("row_id")])
-    return budget.break_greedy(r, "repo_name", "rank", "tokens", 2000).select("repo_name", "row_id")
+    return budget.break_in_order(c, "repo_name", [F.desc("ingested_at"), F.col("row_id")], "tokens", 2000).select("repo_name", "row_id")
 
 
 # ---- vectors

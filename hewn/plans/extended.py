@@ -131,8 +131,7 @@ SELECT repo_name, row_id FROM (SELECT *, sum(tokens) OVER (PARTITION BY repo_nam
 def j11_documentation_only(spark, d):
     k = F.lower("kind")
     s = table(spark, d, "chunks").select("repo_name", "row_id", text.chunk_tokens().alias("tokens"), F.when(k == "docstring", 10).when(k == "comment", 8).when(k == "module_header", 6).alias("score")).filter("score is not null")
-    r = position(s, ["repo_name"], [F.desc("score"), F.col("row_id")])
-    return budget.break_greedy(r, "repo_name", "rank", "tokens", 500).select("repo_name", "row_id")
+    return budget.break_in_order(s, "repo_name", [F.desc("score"), F.col("row_id")], "tokens", 500).select("repo_name", "row_id")
 
 
 @query("""

@@ -303,8 +303,7 @@ def _bm25(spark, d):
 
 
 def _within(scores, limit: int):
-    r = position(scores, ["repo_name"], [F.desc("score"), F.col("row_id")])
-    return budget.break_greedy(r, "repo_name", "rank", "tokens", limit).select("repo_name", "row_id", "score")
+    return budget.break_in_order(scores, "repo_name", [F.desc("score"), F.col("row_id")], "tokens", limit).select("repo_name", "row_id", "score")
 
 
 _WITHIN = "SELECT repo_name, row_id, score FROM (SELECT *, sum(tokens) OVER (PARTITION BY repo_name ORDER BY score DESC, row_id ROWS UNBOUNDED PRECEDING) AS cum FROM sc) WHERE cum <= 1500"

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from hewn.functions import paths, text
-from hewn.operators import budget
+from hewn.operators import budget, stats
 from hewn.operators.prefix import position
 from hewn.plans.registry import query
 from hewn.plans.scan import FILES_SQL, files
@@ -149,18 +149,17 @@ SELECT variant_id, count(*) AS runs, round(avg(coverage_score), 6) AS mean, roun
 def d17_system_score(spark, d):
     s = table(spark, d, "selection_results").filter("coverage_score is not null and not isnan(coverage_score) and total_tokens > 0")
     x = "coverage_score"
-    return s.groupBy("variant_id").agg(
-        F.count("*").alias("runs"), F.round(F.avg(x), 6).alias("mean"), F.round(F.stddev_pop(x), 6).alias("std"), F.round(F.median(x), 6).alias("median"), F.round(F.percentile(x, 0.25), 6).alias("p25"),
-        F.round(F.percentile(x, 0.75), 6).alias("p75"), F.round(F.sum(x) / F.sum("total_tokens") * 1e5, 6).alias("per_100k"),
-    )
+    g = s.groupBy("variant_id").agg(F.count("*").alias("runs"), F.round(F.avg(x), 6).alias("mean"), F.round(F.stddev_pop(x), 6).alias("std"), F.round(F.sum(x) / F.sum("total_tokens") * 1e5, 6).alias("per_100k"))
+    p = stats.percentiles(s, "variant_id", x, {"median": 0.5, "p25": 0.25, "p75": 0.75})
+    return g.join(p, "variant_id").select("variant_id", "runs", "mean", "std", *[F.round(c, 6).alias(c) for c in ("median", "p25", "p75")], "per_100k")
 
 
 @query("""SELECT event_type, count(*) AS n, round(avg(value), 6) AS mean, round(quantile_cont(value, 0.5), 6) AS p50, round(quantile_cont(value, 0.95), 6) AS p95 FROM events GROUP BY 1""")
 def d18_latency_percentiles(spark, d):
-    p = F.percentile("value", F.array(F.lit(0.5), F.lit(0.95)))
-    return table(spark, d, "events").groupBy("event_type").agg(F.count("*").alias("n"), F.round(F.avg("value"), 6).alias("mean"), p.alias("p")).select(
-        "event_type", "n", "mean", F.round(F.col("p")[0], 6).alias("p50"), F.round(F.col("p")[1], 6).alias("p95")
-    )
+    e = table(spark, d, "events")
+    p = stats.percentiles(e, "event_type", "value", {"p50": 0.5, "p95": 0.95})
+    g = e.groupBy("event_type").agg(F.count("*").alias("n"), F.round(F.avg("value"), 6).alias("mean"))
+    return g.join(p, "event_type").select("event_type", "n", "mean", F.round("p50", 6).alias("p50"), F.round("p95", 6).alias("p95"))
 
 
 @query("""
@@ -181,10 +180,9 @@ def d21_repeated_chunks(spark, d):
 
 @query("""SELECT variant_id, round(avg(iterations), 6) AS mean, round(median(iterations), 6) AS median, round(stddev_samp(iterations), 6) AS std, CAST(min(iterations) AS BIGINT) AS low, CAST(max(iterations) AS BIGINT) AS high FROM selection_results GROUP BY 1""")
 def d23_variant_statistics(spark, d):
-    x = "iterations"
-    return table(spark, d, "selection_results").groupBy("variant_id").agg(
-        F.round(F.avg(x), 6).alias("mean"), F.round(F.median(x), 6).alias("median"), F.round(F.stddev_samp(x), 6).alias("std"), F.min(x).cast("long").alias("low"), F.max(x).cast("long").alias("high")
-    )
+    x, s = "iterations", table(spark, d, "selection_results")
+    g = s.groupBy("variant_id").agg(F.round(F.avg(x), 6).alias("mean"), F.round(F.stddev_samp(x), 6).alias("std"), F.min(x).cast("long").alias("low"), F.max(x).cast("long").alias("high"))
+    return g.join(stats.percentiles(s, "variant_id", x, {"median": 0.5}), "variant_id").select("variant_id", "mean", F.round("median", 6).alias("median"), "std", "low", "high")
 
 
 @query("""
@@ -214,7 +212,8 @@ def _ranked_chunks(spark, d):
 @query(f"""
 SELECT repo_name, row_id, CAST(cum AS BIGINT) AS cum_tokens FROM (SELECT repo_name, row_id, sum({TOK}) OVER (PARTITION BY repo_name ORDER BY coalesce(centrality_score, 0) DESC, row_id ROWS UNBOUNDED PRECEDING) AS cum FROM chunks) WHERE cum <= 2000""")
 def e2_greedy_break(spark, d):
-    return budget.break_greedy(_ranked_chunks(spark, d), "repo_name", "rank", "tokens", 2000).select("repo_name", "row_id", F.col("cum_tokens").cast("long").alias("cum_tokens"))
+    c = table(spark, d, "chunks").select("repo_name", "row_id", text.chunk_tokens().alias("tokens"), F.coalesce("centrality_score", F.lit(0.0)).alias("score"))
+    return budget.break_in_order(c, "repo_name", [F.desc("score"), F.col("row_id")], "tokens", 2000).select("repo_name", "row_id", F.col("cum_tokens").cast("long").alias("cum_tokens"))
 
 
 @query(f"""

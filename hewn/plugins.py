@@ -14,7 +14,6 @@ from pyspark.sql import functions as F
 
 from hewn.functions import text
 from hewn.operators import budget
-from hewn.operators.prefix import position
 from hewn.sources import sinks
 
 #: name -> (text column -> token count column)
@@ -49,8 +48,7 @@ PROVIDERS = {"hashed": "k1_hashed_vectors", "table": "c18_cluster_membership"}
 def select(items: DataFrame, selector: str, limit: int, keep: Callable[[], Column] | None = None, key: Callable[[], list[Column]] | None = None) -> DataFrame:
     """Rows of (repo_name, row_id, tokens, score, ingested_at) within ``limit`` tokens per repository, in the selector's order or that of ``key``, of those that the caller's filter ``keep`` lets through."""
     pool = items.filter(keep()) if keep else items
-    ranked = position(pool, ["repo_name"], key() if key else SELECTORS[selector]())
-    return budget.break_greedy(ranked, "repo_name", "rank", "tokens", limit)
+    return budget.break_in_order(pool, "repo_name", key() if key else SELECTORS[selector](), "tokens", limit)
 
 
 @dataclass(frozen=True)

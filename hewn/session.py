@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -23,11 +24,18 @@ def local_session(cores: str = "8", shuffle_partitions: int = 8) -> SparkSession
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Uses the shared folder of ``spark.checkpoint.dir``; makes one only where none is set (tests)."""
+    """Uses the shared folder that ``spark.checkpoint.dir`` names; in local mode, where driver and tasks share a disk, a temporary one will do.
+
+    On a cluster a machine-local folder would differ on every executor, so a
+    session without the setting is an error there.
+    """
     jsc = spark.sparkContext._jsc.sc()
-    if jsc.getCheckpointDir().isEmpty():
-        named = spark.sparkContext.getConf().get("spark.checkpoint.dir")
-        spark.sparkContext.setCheckpointDir(named or tempfile.mkdtemp(prefix="hewn-checkpoint-"))
+    if not jsc.getCheckpointDir().isEmpty():
+        return
+    named = spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not named and not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+    spark.sparkContext.setCheckpointDir(named or tempfile.mkdtemp(prefix="hewn-checkpoint-"))
 
 
 def cut(df: DataFrame, looped: bool = False) -> DataFrame:
