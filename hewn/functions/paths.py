@@ -22,12 +22,7 @@ DOC_PART = r"(^|/)(doc|docs|documentation|manual|guide|tutorial)/|\.(md|rst|txt)
 EXAMPLE_PATH = r"example|demo|sample|tutorial"
 ENTRY_NAME = r"(^|/)(main\.py|__main__\.py|app\.py|server\.py|index\.py|main\.js|index\.js|app\.js|server\.js|index\.ts|main\.ts|main\.go|main\.rs|lib\.rs|mod\.rs)$"
 EXAMPLES_PART = r"(^|/)(examples?|demos?|samples?|tutorials?|tests?|specs?|benchmarks?)/"
-# Default exclusions.
-EXCLUDED = [
-    ".git/**", ".svn/**", ".hg/**", "node_modules/**", "vendor/**", ".venv/**", "venv/**", "__pycache__/**", "build/**", "dist/**", "target/**",
-    "out/**", "bin/**", "obj/**", ".idea/**", ".vscode/**", "*.swp", "*~", "*.tmp", "*.log", "*.cache", "*.exe", "*.dll", "*.so", "*.o", "*.pyc",
-    "*.class", "*.jpg", "*.png", "*.gif", "*.zip", "coverage/**",
-]
+# Names of generated files, directories that are left out.
 GENERATED_NAME = r"\.generated\.\w+$|\.gen\.\w+$|_pb2\.py$|_pb2_grpc\.py$|\.pb\.go$|\.min\.\w+$|\.bundle\.\w+$|\.chunk\.\w+$|lock\.json$|yarn\.lock$"
 EXCLUDED_DIRECTORY = r"(^|/)(build|dist|out|target|bin|obj|node_modules|vendor|pods|__pycache__|venv|env|site-packages|coverage|htmlcov)/"
 

@@ -17,7 +17,6 @@ GENERATED_MARKERS = [
     "code generated by", "machine generated", "computer generated",
 ]
 INTEGRATION = ["integration", "e2e", "end2end", "functional", "database", "db", "api", "http", "server", "docker", "container", "selenium", "playwright"]
-IMPORTS = r"(?m)^\s*(?:from\s+([A-Za-z_][\w.]*)\s+import|import\s+([A-Za-z_][\w.]*)|use\s+([\w:]+)|import\s+.*?from\s+['\"]([^'\"]+)['\"]|\s*\"([^\"]+)\"\s*$)"
 COMMENT_MARKS = ["#", "//", "/*", "*/", "<!--", "-->", "'''", '"""']
 TYPE_WEIGHT = {"class": 0.9, "function": 0.7, "import": 0.9, "docstring": 0.5, "comment": 0.2}
 
@@ -133,10 +132,3 @@ def human_bytes(n: Column) -> Column:
 
 def slug(text: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(F.lower(text), r"[^a-z0-9]+", "-"), r"^-|-$", "")
-
-
-def without_comments(text: Column) -> Column:
-    """Comments and docstrings removed, blanks squeezed, lower case."""
-    t = F.regexp_replace(text, r'"""[\s\S]*?"""|/\*[\s\S]*?\*/', " ")
-    t = F.regexp_replace(t, r"(?m)(#|//)[^\n]*$", " ")
-    return F.lower(F.trim(F.regexp_replace(t, r"\s+", " ")))

@@ -9,9 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pyspark.storagelevel import StorageLevel
-
-from hewn.session import cut
+from hewn.session import cut, kept
 
 CUT_EVERY = 5
 
@@ -48,9 +46,9 @@ def pagerank(
     if teleport is not None:
         base = nodes.join(teleport, "node", "left").select("node", ((1 - damping) * F.coalesce("share", F.lit(0.0))).alias("base"))
     first = nodes.withColumn("first", F.lit(1.0 / n)) if start is None else nodes.join(start, "node", "left").select("node", F.coalesce("rank", F.lit(0.0)).alias("first"))
-    base = base.join(first, "node").repartition(parts, "node").persist(StorageLevel.MEMORY_AND_DISK)
+    base = kept(base.join(first, "node").repartition(parts, "node"))
     heavy = e.groupBy("src").agg((1.0 / F.count("*")).alias("w"))
-    e = e.join(heavy, "src").repartition(parts, "src").persist(StorageLevel.MEMORY_AND_DISK)
+    e = kept(e.join(heavy, "src").repartition(parts, "src"))
     rank = base.select("node", F.col("first").alias("rank"))
     outs = e.select(F.col("src").alias("node")).distinct() if dangling else None
     for step in range(steps):

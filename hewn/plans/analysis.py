@@ -13,7 +13,7 @@ from hewn.operators import budget, graph, select, stats
 from hewn.operators.prefix import position
 from hewn.plans.registry import query
 from hewn.plans.relational import _paired, _ratings, c4_dependency_edges
-from hewn.session import cut
+from hewn.session import cut, spread
 from hewn.sources.tables import table
 
 TOK = text.CHUNK_TOKENS_SQL
@@ -185,7 +185,7 @@ def h16_bm25(spark, d, most_terms: int = 1_000_000):
     Lengths come from the rows themselves; only terms that some question has are counted. Up to
     ``most_terms`` different terms are broadcast, more are joined.
     """
-    docs = table(spark, d, "documents").filter("text is not null")
+    docs = spread(table(spark, d, "documents").filter("text is not null").select("doc_id", "text"))
     words = docs.select("doc_id", F.filter(F.split(F.lower("text"), "[^a-z0-9_]+"), lambda x: F.length(x) >= 3).alias("words")).select("doc_id", "words", F.size("words").cast("long").alias("len"))
     q = table(spark, d, "qa_items").filter("question is not null").select("item_id", F.explode(F.array_distinct(F.split(F.lower("question"), "[^a-z0-9_]+"))).alias("term")).filter(F.length("term") >= 3)
     terms = cut(q.select("term").distinct())

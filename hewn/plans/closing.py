@@ -1,16 +1,13 @@
-"""Neighbour, cluster-quality, canonical-form and routing queries (survey groups C14, D24, D26, H25, H31, J13, L13, M4, O17)."""
+"""Neighbour, cluster-quality, canonical-form, routing and synthetic queries (survey groups A15, B9, B24, C14, D24, D33, G4, H25, H26, H31, M4, O17)."""
 
 from __future__ import annotations
 
 import math
 
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from hewn.functions import paths, text
-from hewn.operators import stats
 from hewn.operators.neighbours import nearest
-from hewn.operators.prefix import position
 from hewn.plans.registry import query
 from hewn.plans.scan import FILES_SQL, files
 from hewn.sources.tables import table

@@ -3,14 +3,13 @@
 from __future__ import annotations
 
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from hewn.functions import paths, text
-from hewn.operators import budget, graph, stats
+from hewn.operators import budget, stats
 from hewn.operators.prefix import position, prefix_sum
-from hewn.plans.analysis import EDGES_SQL, _graph, _tf
+from hewn.plans.analysis import _tf
 from hewn.plans.registry import query
-from hewn.plans.relational import _paired, _ranked_chunks
+from hewn.plans.relational import _paired
 from hewn.plans.scan import FILES_SQL, files
 from hewn.sources.tables import table
 
@@ -235,5 +234,3 @@ def o8_decision(spark, d):
     k = m.select("variant_id", "c", risk.alias("risk"))
     return k.select("variant_id", "risk", F.when((F.col("c") >= 0.6) & (F.col("risk") < 0.3), "PROMOTE").when(F.col("risk") < 0.5, "REFINE").otherwise("MANUAL").alias("decision"))
 
-
-_ = Window

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import contextlib
 import re
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.storagelevel import StorageLevel
 
 
 def local_session(cores: str = "8", shuffle_partitions: int = 8) -> SparkSession:
@@ -38,6 +40,29 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
     spark.sparkContext.setCheckpointDir(named or tempfile.mkdtemp(prefix="hewn-checkpoint-"))
 
 
+@contextlib.contextmanager
+def setting(spark: SparkSession, key: str, value: str):
+    """A setting for the length of a block; the caller's own is put back."""
+    before = spark.conf.get(key, None)
+    spark.conf.set(key, value)
+    try:
+        yield
+    finally:
+        spark.conf.unset(key) if before is None else spark.conf.set(key, before)
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """``df`` over as many tasks as there are cores, where it comes in fewer: for costly expressions over small files."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
+def kept(df: DataFrame) -> DataFrame:
+    """``df`` persisted with its partitioning, which joins on the same key then need not make again."""
+    with setting(df.sparkSession, "spark.sql.optimizer.canChangeCachedPlanOutputPartitioning", "false"):
+        return df.persist(StorageLevel.MEMORY_AND_DISK)
+
+
 def cut(df: DataFrame, looped: bool = False) -> DataFrame:
     """Writes ``df`` to the shared checkpoint folder and returns it without its lineage.
 
@@ -48,13 +73,8 @@ def cut(df: DataFrame, looped: bool = False) -> DataFrame:
     ensure_checkpoint_dir(spark)
     if not looped:
         return df.checkpoint(eager=True)
-    key = "spark.sql.constraintPropagation.enabled"
-    before = spark.conf.get(key, "true")
-    spark.conf.set(key, "false")
-    try:
+    with setting(spark, "spark.sql.constraintPropagation.enabled", "false"):
         return df.checkpoint(eager=True)
-    finally:
-        spark.conf.set(key, before)
 
 
 def bounded_batches(spark: SparkSession, max_bytes: int = 16 << 20, max_rows: int = 4096) -> None:
