@@ -370,4 +370,3 @@ def g6_coverage_gaps(spark, d):
     return want.join(c, (want.repo_name.eqNullSafe(c.repo_name)) & (want.kind == c.kind), "left_anti")
 
 
-_ = paths
