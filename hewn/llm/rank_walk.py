@@ -10,14 +10,17 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from hewn.session import cut
+from hewn.session import cut, discard, kept
 
 DAMPING, STEPS = 0.85, 40
-#: Most (item, score) rows of a group that one task walks; larger groups are walked with distributed prefix sums, by the same steps.
+#: Most (item, score) rows of a group that one task walks; larger groups are walked in parts and blocks of about so many rows, by the same steps.
 TASK_ROWS = 500_000
 #: Scores beyond this size are taken for faults.
 ABSURD = 1e12
@@ -55,10 +58,11 @@ def rank_walk(long: DataFrame, damping: float = DAMPING, steps: int = STEPS, tas
     src = cut(src)
     kinds = dict(src.dtypes)
     schema = f"grp {kinds['grp']}, item {kinds['item']}, share double"
-    big = cut(src.groupBy(F.col("grp").alias("g")).agg(F.count("*").alias("c"), F.countDistinct("item").alias("n"), F.countDistinct("score").alias("m")).filter(F.col("c") > task_rows).drop("c"))
+    # at most one row per ``task_rows`` rows
+    big = cut(src.groupBy(F.col("grp").alias("g")).agg(F.count("*").alias("c")).filter(F.col("c") > task_rows))
     wide = not big.isEmpty()
     same = F.col("grp").eqNullSafe(F.col("g"))
-    small = src.join(big, same, "left_anti") if wide else src
+    small = src.join(F.broadcast(big), same, "left_anti") if wide else src
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         items, i = np.unique(pdf["item"].to_numpy(), return_inverse=True)
@@ -72,7 +76,9 @@ def rank_walk(long: DataFrame, damping: float = DAMPING, steps: int = STEPS, tas
 
     out = small.groupBy("grp").applyInPandas(run, schema)
     if wide:
-        out = out.unionByName(_wide(src.join(big, same).drop("g"), damping, steps))
+        sizes = src.join(F.broadcast(big), same).groupBy("g").agg(F.first("c").alias("c"), F.countDistinct("item").alias("n"), F.countDistinct("score").alias("m"))
+        sizes = cut(sizes.withColumn("gi", F.row_number().over(Window.orderBy("g"))))
+        out = out.unionByName(_wide(src, sizes, damping, steps, task_rows))
     return _ranked(out, wide)
 
 
@@ -93,36 +99,191 @@ def _ranked(shares: DataFrame, wide: bool) -> DataFrame:
     return joined.select("grp", "item", "share", (F.col("r") + F.col("o")).cast("long").alias("rank"))
 
 
-def _wide(src: DataFrame, damping: float, steps: int) -> DataFrame:
-    """The walk over all groups too large for a task at once: sorted blocks, block sums, offsets. ``src`` also has each group's numbers of items (n) and scores (m)."""
+def _wide(src: DataFrame, big: DataFrame, damping: float, steps: int, task_rows: int) -> DataFrame:
+    """The walk over all groups too large for a task at once.
+
+    Items are dealt to parts, and every score's values, sorted, to blocks, of about ``task_rows``
+    rows each. A step sends the shares from parts to blocks and the sums over
+    lower values back, one array per part and block, so rows are neither sorted nor joined again. The
+    driver sees a few numbers per block. Items without a value on a score
+    are in no block of it; they are below all that have one. ``big`` has each group (g), its number (gi), rows (c), items (n) and scores (m).
+    """
     spark = src.sparkSession
-    parts = max(2, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    # null groups get a key of their own, so that plain equi-joins serve
-    src = cut(src.withColumn("key", F.struct("grp")))
-    items = cut(src.select("key", "item", "n", "m").distinct())
-    names = src.select("key", "score").distinct()
-    full = items.join(names, "key").join(src.select("key", "item", "score", "value"), ["key", "item", "score"], "left").withColumn("value", F.coalesce("value", F.lit(float("-inf"))))
-    counts = full.groupBy("key", "score", "value", "n").agg(F.count("*").alias("c"))
-    blocks = cut(counts.repartitionByRange(parts, "key", "score", "value").withColumn("block", F.spark_partition_id()))
-    within = Window.partitionBy("key", "score", "block").orderBy("value")
-    earlier = Window.partitionBy("key", "score").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
-
-    def prefix(df: DataFrame, col: str) -> DataFrame:
-        """Adds ``below``: the sum of ``col`` over lower values of the same score."""
-        local = df.withColumn("local", F.sum(col).over(within) - F.col(col))
-        offsets = df.groupBy("key", "score", "block").agg(F.sum(col).alias("t")).withColumn("o", F.coalesce(F.sum("t").over(earlier), F.lit(0))).drop("t")
-        return local.join(offsets, ["key", "score", "block"]).withColumn("below", F.col("local") + F.col("o")).drop("local", "o")
-
-    ranked = cut(prefix(blocks, "c").withColumn("h", F.col("n") - F.col("below") - F.col("c")).select("key", "score", "value", "block", "h"))
-    long = cut(full.join(ranked, ["key", "score", "value"]).select("key", "item", "n", "m", "score", "value", "block", "h"))
-    pi = items.select("key", "item", (1.0 / F.col("n")).alias("share"))
+    groups = {r["gi"]: (r["n"], r["m"]) for r in big.select("gi", "n", "m").collect()}
+    dealt = src.join(F.broadcast(big), F.col("grp").eqNullSafe(F.col("g"))).withColumn("p", F.pmod(F.xxhash64("item"), F.ceil(F.col("c") / task_rows)).cast("int"))
+    # a negative zero equals zero
+    placed = cut(dealt.select("gi", "grp", "p", "item", "score", (F.col("value") + F.lit(0.0)).alias("value"), (F.dense_rank().over(Window.partitionBy("gi", "p").orderBy("item")) - 1).alias("idx")))
+    order = ["gi", "score", "value", "p", "idx"]
+    count = max(2, -(-big.agg(F.sum("c")).first()[0] // task_rows))
+    sorted_ = placed.filter("value is not null").select(*order).repartitionByRange(count, *order).sortWithinPartitions(*order)
+    kind = dict(placed.dtypes)["score"]
+    blocks = cut(sorted_.mapInArrow(_blocks, f"gi int, score {kind}, b long, first double, last double, ns_first long, ns_last long, rows long, ps array<int>, ns array<int>, idx binary, run binary"))
+    chains = _chains(blocks.select("gi", "score", "b", "first", "last", "ns_first", "ns_last", "rows").collect())
+    at = {b: (k["total"], k["before"], k["tail"]) for _, _, chain in chains for b, k in chain}
+    empty = {g: m - sum(gi == g for gi, _, _ in chains) for g, (_, m) in groups.items()}
+    parts = placed.groupBy("gi", "p").agg((F.max("idx") + 1).alias("size")).select("gi", "p", F.lit(None).cast("long").alias("b"), "size", F.lit(None).cast("binary").alias("at"))
+    links = kept(parts.unionByName(blocks.select("gi", "b", "ps", "ns", "idx", "run").mapInArrow(_links, "gi int, p int, b long, size int, at binary")).repartition("gi", "p"))
+    fixed = kept(blocks.select("gi", "b", "ns", "run").repartition("gi", "b"))
+
+    def shares(gi: int, left: pa.Table, right: pa.Table, offsets: dict | None) -> tuple[np.ndarray, list]:
+        """The shares of a part's items, and its links (block, places of its items)."""
+        n, m = groups[gi]
+        rows = sorted(((b, np.frombuffer(x, np.int32)) for b, x in zip(left["b"].to_pylist(), left["at"].to_pylist()) if b is not None), key=lambda r: r[0])
+        size = max(x for x in left["size"].to_pylist() if x is not None)
+        if offsets is None:
+            return np.full(size, 1.0 / n), rows
+        came = dict(zip(right["b"].to_pylist(), right["data"].to_pylist()))
+        gained = np.zeros(size)
+        for b, where in rows:
+            # the lowest bit tells whether the value is the block's first
+            gained += np.bincount(where >> 1, np.frombuffer(came.pop(b), np.float64) + np.array(offsets[b])[where & 1], size)
+        for own in came.values():
+            gained += empty[gi] * np.frombuffer(own, np.float64)
+        return (1 - damping) / n + damping * gained / m, rows
+
+    def send(offsets: dict | None):
+        def run(key: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
+            gi, p = key[0].as_py(), key[1].as_py()
+            pi, rows = shares(gi, left, right, offsets)
+            out = [(b, pi[where >> 1].tobytes()) for b, where in rows] + ([(-1 - p, pi.tobytes())] if empty[gi] else [])
+            return pa.table({"gi": pa.array([gi] * len(out), pa.int32()), "p": pa.array([p] * len(out), pa.int32()), "b": pa.array([b for b, _ in out], pa.int64()), "data": pa.array([x for _, x in out], pa.binary())})
+
+        return run
+
+    def sums(key: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
+        gi, b = key[0].as_py(), key[1].as_py()
+        came = sorted(zip(right["p"].to_pylist(), right["data"].to_pylist()))
+        totals = [None, None, None]
+        if left.num_rows:
+            run = np.frombuffer(left["run"][0].as_py(), np.int32)
+            pi = np.frombuffer(b"".join(x for _, x in came), np.float64)
+            total, before, tail = at[b]
+            higher = total - before - np.cumsum(np.bincount(run))
+            higher[-1] -= tail
+            mass = np.where(higher > 0, np.bincount(run, pi) / np.maximum(higher, 1), 0.0)
+            below = np.concatenate([[0.0], np.cumsum(mass)])
+            back = below[run] + np.where(higher[run] == 0, pi, 0.0)
+            ends = np.cumsum(left["ns"][0].as_py())
+            came = [(p, x.tobytes()) for (p, _), x in zip(came, np.split(back, ends[:-1]))]
+            totals = [pi.sum(), below[-1], mass[-1]]
+            came.append((None, None))
+        k = len(came)
+        sent, whole, high = ([None] * (k - 1) + [x] for x in totals)
+        return pa.table(
+            {
+                "gi": pa.array([gi] * k, pa.int32()), "p": pa.array([p for p, _ in came], pa.int32()), "b": pa.array([b] * k, pa.int64()), "data": pa.array([x for _, x in came], pa.binary()),
+                "sent": pa.array(sent, pa.float64()), "whole": pa.array(whole, pa.float64()), "high": pa.array(high, pa.float64()),
+            }
+        )
+
+    returned = "gi int, p int, b long, data binary, sent double, whole double, high double"
+    back, offsets = spark.createDataFrame([], returned), None
     for _ in range(steps):
-        mass = long.filter("h > 0").join(pi, ["key", "item"]).groupBy("key", "score", "block", "value").agg(F.sum(F.col("share") / F.col("h")).alias("mass"))
-        every = ranked.select("key", "score", "value", "block").join(mass, ["key", "score", "block", "value"], "left").withColumn("mass", F.coalesce("mass", F.lit(0.0)))
-        gained = long.join(prefix(every, "mass").select("key", "score", "value", "below"), ["key", "score", "value"]).join(pi, ["key", "item"])
-        step = F.sum(F.col("below") + F.when(F.col("h") == 0, F.col("share")).otherwise(0.0)) / F.max("m")
-        pi = cut(gained.groupBy("key", "item").agg((F.lit(1 - damping) / F.max("n") + F.lit(damping) * step).alias("share")), looped=True)
-    return pi.select(F.col("key.grp").alias("grp"), "item", "share")
+        sent = links.groupBy("gi", "p").cogroup(back.filter("data is not null").groupBy("gi", "p")).applyInArrow(send(offsets), "gi int, p int, b long, data binary")
+        last, back = back, cut(fixed.groupBy("gi", "b").cogroup(sent.groupBy("gi", "b")).applyInArrow(sums, returned), looped=True)
+        totals = {r["b"]: (r["sent"], r["whole"], r["high"]) for r in back.filter("data is null").select("b", "sent", "whole", "high").collect()}
+        offsets = _offsets(chains, totals, groups)
+        if _:
+            discard(last)
+    items = placed.select("gi", "p", "idx", "grp", "item").distinct()
+
+    def final(key: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
+        pi, _ = shares(key[0].as_py(), left, right, offsets)
+        return pa.table({"gi": pa.array([key[0].as_py()], pa.int32()), "p": pa.array([key[1].as_py()], pa.int32()), "pi": pa.array([pi.tobytes()], pa.binary())})
+
+    pi = links.groupBy("gi", "p").cogroup(back.filter("data is not null").groupBy("gi", "p")).applyInArrow(final, "gi int, p int, pi binary")
+
+    def pick(batches):
+        for b in batches:
+            data = np.frombuffer(b"".join(b.column(2).to_pylist()), np.float64)
+            ends = np.cumsum([len(x) // 8 for x in b.column(2).to_pylist()])
+            for k, (lo, hi) in enumerate(zip(np.concatenate([[0], ends[:-1]]), ends)):
+                for at_ in range(0, hi - lo, 65_536):
+                    part = data[lo + at_ : min(hi, lo + at_ + 65_536)]
+                    n = len(part)
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(np.full(n, b.column(0)[k].as_py(), np.int32)), pa.array(np.full(n, b.column(1)[k].as_py(), np.int32)), pa.array(np.arange(at_, at_ + n, dtype=np.int32)), pa.array(part)],
+                        names=["gi", "p", "idx", "share"],
+                    )
+
+    out = cut(items.join(pi.mapInArrow(pick, "gi int, p int, idx int, share double"), ["gi", "p", "idx"]).select("grp", "item", "share"), looped=True)
+    if steps:
+        discard(back)
+    links.unpersist()
+    fixed.unpersist()
+    return out
+
+
+def _blocks(batches):
+    """One row per block, the rows of one group and score in a sorted partition: its rows by part and place (``ps``, ``ns``, ``idx``), each with its value's place among the block's values (``run``)."""
+    whole = [b for b in batches if b.num_rows]
+    if not whole:
+        return
+    t = pa.Table.from_batches(whole).combine_chunks()
+    gi, value, p, idx = (t[c].to_numpy() for c in ("gi", "value", "p", "idx"))
+    score = t["score"].combine_chunks()
+    other = (gi[1:] != gi[:-1]) | pc.not_equal(score.slice(1), score.slice(0, len(score) - 1)).to_numpy(zero_copy_only=False)
+    starts = np.concatenate([[0], np.flatnonzero(other) + 1, [len(gi)]])
+    pid = TaskContext.get().partitionId()
+    for seq, (lo, hi) in enumerate(zip(starts[:-1], starts[1:])):
+        v = value[lo:hi]
+        run = np.concatenate([[0], np.cumsum(v[1:] != v[:-1])]).astype(np.int32)
+        by = np.lexsort((idx[lo:hi], p[lo:hi]))
+        ps, ns = np.unique(p[lo:hi], return_counts=True)
+        n = np.bincount(run)
+        yield pa.RecordBatch.from_arrays(
+            [
+                pa.array([gi[lo]], pa.int32()), score.slice(lo, 1), pa.array([(pid << 32) + seq], pa.int64()), pa.array([v[0]]), pa.array([v[-1]]), pa.array([n[0]], pa.int64()), pa.array([n[-1]], pa.int64()),
+                pa.array([hi - lo], pa.int64()), pa.array([ps.astype(np.int32)], pa.list_(pa.int32())), pa.array([ns.astype(np.int32)], pa.list_(pa.int32())),
+                pa.array([idx[lo:hi][by].astype(np.int32).tobytes()], pa.binary()), pa.array([run[by].tobytes()], pa.binary()),
+            ],
+            names=["gi", "score", "b", "first", "last", "ns_first", "ns_last", "rows", "ps", "ns", "idx", "run"],
+        )
+
+
+def _links(batches):
+    """A block's rows by part: each row's place in the part, and in the lowest bit whether its value is the block's first."""
+    for batch in batches:
+        for gi, b, ps, ns, idx, run in zip(*(c.to_pylist() for c in batch.columns)):
+            where = (np.frombuffer(idx, np.int32) << 1) | (np.frombuffer(run, np.int32) == 0)
+            k = len(ps)
+            data = [x.astype(np.int32).tobytes() for x in np.split(where, np.cumsum(ns)[:-1])]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([gi] * k, pa.int32()), pa.array(ps, pa.int32()), pa.array([b] * k, pa.int64()), pa.array([None] * k, pa.int32()), pa.array(data, pa.binary())], names=["gi", "p", "b", "size", "at"]
+            )
+
+
+def _chains(rows: list) -> list[tuple[int, int, list]]:
+    """(group, rows, blocks in order) per group and score. A block has the score's rows, those before it, those of its last value behind it, whether its first value began before it and whether it has one value."""
+    by: dict = {}
+    for r in sorted(rows, key=lambda r: r["b"]):
+        by.setdefault((r["gi"], r["score"]), []).append(r)
+    out = []
+    for (gi, _), chain in by.items():
+        total, before, blocks = sum(r["rows"] for r in chain), 0, []
+        for k, r in enumerate(chain):
+            blocks.append((r["b"], {"total": total, "before": before, "tail": 0, "goes_on": k > 0 and chain[k - 1]["last"] == r["first"], "single": r["first"] == r["last"]}))
+            before += r["rows"]
+        for k in range(len(chain) - 2, -1, -1):
+            if blocks[k + 1][1]["goes_on"]:
+                blocks[k][1]["tail"] = chain[k + 1]["ns_first"] + (blocks[k + 1][1]["tail"] if blocks[k + 1][1]["single"] else 0)
+        out.append((gi, total, blocks))
+    return out
+
+
+def _offsets(chains: list, totals: dict, groups: dict) -> dict[int, tuple[float, float]]:
+    """What a block's sums lack: for rows of other values than its first, and for rows of its first value."""
+    out = {}
+    for gi, rows, chain in chains:
+        # items without a value are below all others
+        whole = (1 - sum(totals[b][0] for b, _ in chain)) / rows if rows < groups[gi][0] else 0.0
+        at_last = 0.0
+        for b, k in chain:
+            first = at_last if k["goes_on"] else whole
+            out[b] = (whole, first)
+            at_last = first if k["single"] else whole + totals[b][1] - totals[b][2]
+            whole += totals[b][1]
+    return out
 
 
 def file_ranks(git_files: DataFrame, **options) -> DataFrame:

@@ -77,6 +77,16 @@ def cut(df: DataFrame, looped: bool = False) -> DataFrame:
         return df.checkpoint(eager=True)
 
 
+def discard(df: DataFrame) -> None:
+    """Deletes the files of a frame from :func:`cut` that nothing reads any more, and lets Spark clear the shuffles that only it needed: loops would pile them up."""
+    spark = df.sparkSession
+    file = df._jdf.queryExecution().analyzed().rdd().getCheckpointFile()
+    if file.isDefined():
+        path = spark._jvm.org.apache.hadoop.fs.Path(file.get())
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    spark._jvm.System.gc()
+
+
 def bounded_batches(spark: SparkSession, max_bytes: int = 16 << 20, max_rows: int = 4096) -> None:
     """Keeps Arrow batches small by bytes as well as by rows, so that very long texts do not pile up in one batch."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(max_rows))

@@ -181,3 +181,23 @@ def test_walk_does_not_stop_early_in_large_groups():
     n = 50_000
     r = np.stack([rng.permutation(n) + 1 for _ in range(3)], 1)
     assert np.abs(rank_walk.walk(r) - rank_walk.walk(r, steps=400)).max() * n < 1e-6
+
+
+def test_large_group_is_walked_to_the_end(spark, monkeypatch):
+    """All steps, values that go on over several blocks, a score without values, and size estimates that don't multiply from step to step on the driver."""
+    digits, cut = [], rank_walk.cut
+
+    def watched(df, **options):
+        out = cut(df, **options)
+        digits.append(out._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().bit_length())
+        return out
+
+    rng = np.random.default_rng(9)
+    rows = [(g, f"i{i}", s, float(v), 0, 0.0) for g in (1, None) for i in range(60) for s, v in zip("abc", (rng.integers(0, 2), rng.integers(-1, 9), rng.normal()))]
+    rows += [(1, f"i{i}", s, v, 0, 0.0) for i in range(50, 70) for s, v in (("d", None), ("e", float(i)))] + [(1, "i80", "a", None, 0, 0.0), (2, "solo", "a", 1.0, 0, 0.0)]
+    df = spark.createDataFrame(rows, L)
+    plain = rank_walk.rank_walk(df).toPandas().sort_values(["grp", "item"])
+    monkeypatch.setattr(rank_walk, "cut", watched)
+    wide = rank_walk.rank_walk(df, task_rows=11).toPandas().sort_values(["grp", "item"])
+    assert len(wide) == 132 and wide["rank"].tolist() == plain["rank"].tolist() and np.allclose(wide.share, plain.share, atol=1e-12)
+    assert len(digits) > rank_walk.STEPS and max(digits) < 10_000
