@@ -327,20 +327,20 @@ def _cosine(a: str, b: str):
     return f(a, b)
 
 
-#: Codebooks for ranking neighbours, first codes of which a query looks into, and rows that are ranked again with the exact vectors.
-RANKING_BOOKS, LOOKS, RERANK = 40, 20, 40
+#: Codebooks for ranking neighbours, and rows that are ranked again with the exact vectors.
+RANKING_BOOKS, RERANK = 40, 40
 #: Most rows, and about as many queries, that one task scores against each other.
 UNIT_ROWS, UNIT_QUERIES = 65_536, 16_384
 
 
-def coded(vectors: DataFrame, books: dict, every: int, looks: int, beam: int = 2) -> DataFrame:
+def coded(vectors: DataFrame, books: dict, every: int, beam: int = 2) -> DataFrame:
     """(vec_id, space_no, cell, codes, norm, cells, half): the codes of all rows, the length of the codes' vector, and the row's cell, its first code.
 
-    Query rows (``vec_id`` divisible by ``every``) also have the ``looks`` cells
-    nearest to them, best first (all cells in spaces of up to SAMPLE rows), and their vector in half precision.
+    Query rows (``vec_id`` divisible by ``every``) also have all cells,
+    nearest first, and their vector in half precision.
     """
     spark = vectors.sparkSession
-    known = spark.sparkContext.broadcast({s: (i, b, looks if n > SAMPLE else WORDS) for i, (s, (b, n)) in enumerate(sorted(books.items())) if b is not None})
+    known = spark.sparkContext.broadcast({s: (i, b) for i, (s, (b, _)) in enumerate(sorted(books.items())) if b is not None})
 
     def run(batches):
         table = known.value
@@ -349,7 +349,7 @@ def coded(vectors: DataFrame, books: dict, every: int, looks: int, beam: int = 2
             no, cell, norm = np.zeros(size, np.int32), np.zeros(size, np.int32), np.zeros(size, np.float32)
             codes, cells, half = [None] * size, [None] * size, [None] * size
             for s in set(space):
-                i, c, most = table[s]
+                i, c = table[s]
                 at = np.flatnonzero(space == s)
                 x = np.stack([np.frombuffer(raw[k], "<f4") for k in at])
                 code, _ = encode(x, c, beam, 1, 1)
@@ -357,7 +357,7 @@ def coded(vectors: DataFrame, books: dict, every: int, looks: int, beam: int = 2
                 for row, k in enumerate(at):
                     codes[k] = code[row].tobytes()
                 asks = np.flatnonzero(ids[at] % every == 0)
-                near = ((c[0] ** 2).sum(1) - 2 * x[asks] @ c[0].T).argsort(1, kind="stable")[:, :most]
+                near = ((c[0] ** 2).sum(1) - 2 * x[asks] @ c[0].T).argsort(1, kind="stable")
                 for row, k in enumerate(asks):
                     cells[at[k]], half[at[k]] = near[row].astype(np.int32), x[k].astype("<f2").tobytes()
             yield pa.RecordBatch.from_arrays(
@@ -374,11 +374,11 @@ def best_by_tables(q: np.ndarray, qid: np.ndarray, bar: np.ndarray, codes: np.nd
     out = [], [], []
     inverse = (1 / np.maximum(norms, 1e-12)).astype(np.float32)[:, None]
     for lo in range(0, len(q), step):
-        block, own = q[lo : lo + step], qid[lo : lo + step]
+        block, own, least = q[lo : lo + step], qid[lo : lo + step], bar[lo : lo + step].astype(np.float32)
         n = len(block)
         # one table per codebook: the product of each word with each query of the block
         tables = (books.reshape(-1, d) @ block.T).reshape(m, words, n)
-        top_s, top_i = np.zeros((n, 0), np.float32), np.zeros((n, 0), np.int64)
+        top_s, top_i = np.full((n, keep), -9, np.float32), np.zeros((n, keep), np.int64)
         for at in range(0, len(ids), rows):
             code, part = codes[at : at + rows], ids[at : at + rows]
             score = tables[0][code[:, 0]]
@@ -386,35 +386,36 @@ def best_by_tables(q: np.ndarray, qid: np.ndarray, bar: np.ndarray, codes: np.nd
                 score += tables[j][code[:, j]]
             score *= inverse[at : at + rows]
             score[part[:, None] == own] = -9
-            score, part = np.ascontiguousarray(score.T), np.broadcast_to(part, (n, len(part)))
-            if at:
-                score, part = np.concatenate([top_s, score], 1), np.concatenate([top_i, part], 1)
-            if score.shape[1] > keep:
-                pick = np.argpartition(-score, keep - 1, 1)[:, :keep]
-                score, part = np.take_along_axis(score, pick, 1), np.take_along_axis(part, pick, 1)
-            top_s, top_i = score, part
+            # only queries for which a row of the part reaches the bar or their worst of the best so far
+            hit = np.flatnonzero(score.max(0) >= least)
+            if not len(hit):
+                continue
+            score, part = np.concatenate([top_s[hit], score[:, hit].T], 1), np.concatenate([top_i[hit], np.broadcast_to(part, (len(hit), len(part)))], 1)
+            pick = np.argpartition(-score, keep - 1, 1)[:, :keep]
+            top_s[hit], top_i[hit] = np.take_along_axis(score, pick, 1), np.take_along_axis(part, pick, 1)
+            least[hit] = np.maximum(least[hit], top_s[hit].min(1))
         k, c = np.nonzero((top_s >= bar[lo : lo + step, None]) & (top_s > -9))
         for x, y in zip(out, (own[k], top_i[k, c], top_s[k, c])):
             x.append(y)
     return tuple(np.concatenate(x) if x else np.zeros(0, t) for x, t in zip(out, (np.int64, np.int64, np.float32)))
 
 
-def most_similar(embeddings: DataFrame, cache: DataFrame, k: int = 10, every: int = 20, rerank: int = RERANK, looks: int = LOOKS, unit_rows: int = UNIT_ROWS, unit_queries: int = UNIT_QUERIES) -> DataFrame:
+def most_similar(embeddings: DataFrame, cache: DataFrame, k: int = 10, every: int = 20, rerank: int = RERANK, unit_rows: int = UNIT_ROWS, unit_queries: int = UNIT_QUERIES) -> DataFrame:
     """(vec_id, rank, other_vec, similarity): the ``k`` most similar vectors of each query row (``vec_id`` divisible by ``every``).
 
-    Rows lie in the cell of their first code; a query looks into the ``looks`` of the
-    64 cells that are nearest to it, first the two nearest, then, for rows that
-    score no less than its ``rerank``-th best so far, the others. Rows are
+    Rows lie in the cell of their first code; a query looks into all of the
+    64 cells, whatever the number of rows, first into the two that are nearest to it, then, for rows that
+    score no less than its ``rerank``-th best so far, into the others. Rows are
     scored by lookup tables over their codes and their stored norms; the best ``rerank`` of each
     query are ranked with the exact vectors. A cell's rows and its queries are
     dealt to as many tasks as their counts ask for, so a hot cell is never gathered. Neighbours
-    outside those cells, or with ``rerank`` better scores by code, are
+    with ``rerank`` better scores by code are
     missed: the recall is that of a test against brute force. Ties
     go to the lower ``vec_id``. A space with one valid vector gives no rows.
     """
     vectors = cut(valid_vectors(embeddings, cache).select("vec_id", "space", "vec"))
     books = codebooks(vectors, RANKING_BOOKS)
-    rows = cut(coded(vectors, books, every, looks))
+    rows = cut(coded(vectors, books, every))
     words = vectors.sparkSession.sparkContext.broadcast([b for _, (b, _) in sorted(books.items())])
     asked = rows.filter("half is not null").select(F.col("vec_id").alias("q"), "space_no", "cells", "half")
     first = cut(_scored(rows, asked.withColumn("cells", F.slice("cells", 1, 2)).withColumn("bar", F.lit(-8.0).cast("float")), words, rerank, unit_rows, unit_queries))

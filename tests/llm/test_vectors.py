@@ -134,3 +134,19 @@ def test_pairs_just_above_the_least_cosine_are_found_at_three_codes(spark, monke
     emb = spark.createDataFrame(rows(all_, [f"s{i}" for i in range(len(all_))]), E)
     got = {(r.a_vec, r.b_vec) for r in vectors.similar_pairs(emb, spark.createDataFrame([], C)).collect()}
     assert len(got & {(i, len(x) + i) for i in range(600)}) >= 0.94 * 600
+
+
+def test_all_cells_are_looked_into_whatever_the_size(spark, monkeypatch):
+    """Scattered rows, of which many near ones lie in far cells: the neighbours are those of a scan of all codes, above and below SAMPLE rows alike."""
+    rng = np.random.default_rng(7)
+    x = rng.normal(size=(2000, 16))
+    emb, none = spark.createDataFrame(rows(x, [str(i) for i in range(len(x))]), E), spark.createDataFrame([], C)
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    s = u @ u.T
+    np.fill_diagonal(s, -2)
+    whole = {(int(i), int(j)) for i in range(0, len(x), 100) for j in np.argsort(-s[i])[:10]}
+    below = {(r.vec_id, r.other_vec) for r in vectors.most_similar(emb, none, every=100).collect()}
+    monkeypatch.setattr(vectors, "SAMPLE", 1000)
+    assert {(r.vec_id, r.other_vec) for r in vectors.most_similar(emb, none, every=100).collect()} == below
+    # with all rows ranked again nothing is left out
+    assert {(r.vec_id, r.other_vec) for r in vectors.most_similar(emb, none, every=100, rerank=2000).collect()} == whole
