@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from hewn.functions import text
 from hewn.operators import budget, select
-from hewn.operators.prefix import position, prefix_sum
+from hewn.operators.prefix import position, prefix_sum, prefix_sums
 from hewn.plans.registry import query
 from hewn.plans.scoring import _HEURISTIC_SQL, PRIORITY_SQL, TOTAL_SQL, heuristics, priority, total
+from hewn.session import cut
 from hewn.sources.tables import table
 
 TOK = text.CHUNK_TOKENS_SQL
@@ -369,10 +371,31 @@ def j21_reallocation(spark, d):
     r = table(spark, d, "selection_results").filter("total_tokens is not null").join(F.broadcast(b), "config_id").select("run_id", "repo_name", F.greatest(F.lit(0), F.col("token_budget") - F.col("total_tokens")).alias("freed"), "chunk_modes").filter("freed > 0")
     t = text.chunk_tokens()
     c = table(spark, d, "chunks").select("repo_name", "row_id", "id", F.lower(F.coalesce("kind", F.lit("none"))).alias("kind"), t.alias("tokens"), F.round(F.coalesce("centrality_score", F.lit(0.0)) / F.greatest(t, F.lit(1)), 9).alias("density"))
-    taken = r.select("run_id", F.explode(F.map_keys("chunk_modes")).alias("id"))
-    o = r.drop("chunk_modes").join(c, "repo_name").join(taken, ["run_id", "id"], "left_anti").select("run_id", "freed", "row_id", "kind", "tokens", "density")
-    order = [F.desc("density"), F.col("row_id")]
-    g = prefix_sum(o, ["run_id"], order, "tokens").filter("cum <= freed").select("run_id", F.lit("greedy_utility").alias("strategy"), "tokens")
-    k = c.agg(F.countDistinct("kind").alias("k"))
-    e = prefix_sum(o, ["run_id", "kind"], order, "tokens").crossJoin(k).filter(F.col("cum") <= F.floor(F.col("freed") / F.col("k"))).select("run_id", F.lit("balanced").alias("strategy"), "tokens")
-    return g.unionByName(e).groupBy("run_id", "strategy").agg(F.count("*").alias("added"), F.sum("tokens").alias("tokens"))
+    c = cut(c)
+    taken = r.select("run_id", "repo_name", "freed", F.explode(F.map_keys("chunk_modes")).alias("id"))
+    r = r.select("run_id", "repo_name", "freed")
+    k = F.broadcast(c.agg(F.countDistinct("kind").alias("k")))
+    part = lambda df: df.crossJoin(k).withColumn("freed", F.floor(F.col("freed") / F.col("k"))).drop("k")
+    g = _added(c, r, taken, ["repo_name"]).withColumn("strategy", F.lit("greedy_utility"))
+    e = _added(c, part(r).join(c.select("repo_name", "kind").distinct(), "repo_name"), part(taken), ["repo_name", "kind"]).withColumn("strategy", F.lit("balanced"))
+    return g.unionByName(e).groupBy("run_id", "strategy").agg(F.sum("added").alias("added"), F.sum("tokens").alias("tokens"))
+
+
+def _added(c, runs, taken, groups: list[str]):
+    """(run_id, added, tokens) for each run and group: the chunks of ``c`` by density that the run hasn't taken, as long as their sum is at most ``freed``.
+
+    No run meets all chunks of its repository. The sum ``cum`` of all chunks so far, less that of the run's own
+    (``mine``), never falls along the order; after the last own chunk at which it is within ``freed``,
+    only ``cum`` grows. The end is therefore the last chunk with ``cum`` at most ``freed + mine``, and chunks and
+    such limits are sorted together.
+    """
+    c = c.filter("repo_name is not null")
+    n = cut(prefix_sum(c, groups, [F.desc("density"), F.col("row_id")], "tokens"))
+    so_far = Window.partitionBy("run_id", *groups).orderBy(F.desc("density"), "row_id").rowsBetween(Window.unboundedPreceding, 0)
+    own = taken.join(n, ["repo_name", "id"]).withColumn("mine", F.sum("tokens").over(so_far)).filter("cum - mine <= freed").groupBy("run_id", *groups).agg(F.count("*").alias("k"), F.max("mine").alias("mine"))
+    asked = runs.join(own, ["run_id", *groups], "left").fillna(0, ["k", "mine"])
+    chunks = n.select(*groups, F.col("cum").alias("at"), F.lit(1).cast("long").alias("one"), "tokens")
+    both = chunks.unionByName(asked.select(*groups, (F.col("freed") + F.col("mine")).alias("at"), "run_id", "k", "mine"), allowMissingColumns=True)
+    # of equal sums chunks come first
+    ends = prefix_sums(both, groups, [F.col("at"), F.col("run_id").asc_nulls_first()], {"n": "one", "sum": "tokens"}).filter("run_id is not null")
+    return ends.select("run_id", (F.col("n") - F.col("k")).alias("added"), (F.col("sum") - F.col("mine")).alias("tokens")).filter("added > 0")

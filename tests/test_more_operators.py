@@ -1,13 +1,17 @@
 """Sources, plug-ins, neighbours, percentiles and two-mode selection on small fixtures, with nulls, ties and empty tables."""
 
 import json
+from pathlib import Path
 
+import duckdb
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from hewn import plugins
 from hewn.operators import graph, neighbours, select, stats
+from hewn.plans import kernels
+from hewn.plans.catalog import ORACLE_SQL
 from hewn.plans.linking import _first_five, _substring_matches
 from hewn.session import ensure_checkpoint_dir, setting
 from hewn.sources import files
@@ -123,3 +127,30 @@ def test_pagerank_edges_and_settings(spark):
         assert spark.conf.get("hewn.test") == "1"
     assert spark.conf.get("hewn.test", None) is None
     ensure_checkpoint_dir(spark)
+
+
+def _size(folder):
+    return sum(p.stat().st_size for p in Path(folder).rglob("*") if p.is_file())
+
+
+def test_reallocation_keeps_no_pairs_of_runs_and_chunks(spark, tmp_path):
+    """300 runs over 2,000 chunks of a repository: equal to the SQL, and what is written on the way is far from 600,000 rows."""
+    rng = np.random.default_rng(4)
+    chunks = [(i, f"c{i % 1990}" if i % 50 else None, ("r", "s", None)[0 if i < 2000 else i % 3], ("A", "b", None)[i % 3], "x" * int(rng.integers(0, 90)), 0, float(rng.integers(0, 5)) / 4 if i % 7 else None) for i in range(2060)]
+    modes = lambda: {f"c{int(j)}": "full" for j in rng.integers(0, 2100, 12)}
+    runs = [(i, 1 + i % 3, ("r", "r", "s", None)[i % 4 if i > 280 else 0], int(rng.integers(0, 900)) if i % 40 else None, modes() if i % 30 else None) for i in range(300)]
+    tables = {
+        "chunks": (chunks, "row_id long, id string, repo_name string, kind string, content string, full_tokens int, centrality_score double"),
+        "selection_results": (runs, "run_id long, config_id int, repo_name string, total_tokens long, chunk_modes map<string,string>"),
+        "baseline_configs": ([(1, 0), (2, 1000), (3, 60000)], "config_id int, token_budget int"),
+    }
+    duck = duckdb.connect()
+    for name, (rows, schema) in tables.items():
+        spark.createDataFrame(rows, schema).write.parquet(str(tmp_path / f"{name}.parquet"))
+        duck.execute(f"create view {name} as select * from '{tmp_path}/{name}.parquet/*.parquet'")
+    ensure_checkpoint_dir(spark)
+    folder = spark.sparkContext._jsc.sc().getCheckpointDir().get().removeprefix("file:")
+    before = _size(folder)
+    got = sorted(tuple(r[c] for c in ("run_id", "strategy", "added", "tokens")) for r in kernels.j21_reallocation(spark, str(tmp_path)).collect())
+    assert got == sorted(duck.execute(ORACLE_SQL["j21_reallocation"]).fetchall()) and len(got) > 300
+    assert _size(folder) - before < 1_500_000
