@@ -51,15 +51,35 @@ def _grams(s, n: int):
     return F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.length(s) - n + 1, F.lit(1))), lambda i: s.substr(i, F.lit(n))))
 
 
-def _substring_matches(names, f):
-    """(import, dst): files whose lower-case path contains the last part or the joined path of a name."""
+def _needles(names):
+    """The columns of ``names`` with each different needle of its ``import``: the last part and the joined path, in lower case."""
     last = F.lower(F.element_at(F.split("import", "[.:]+"), -1))
     both = F.array_distinct(F.array(last, F.lower(F.regexp_replace("import", "[.:]+", "/"))))
-    needles = names.select("import", F.explode(both).alias("needle")).filter("needle <> ''")
-    keyed = needles.withColumn("gram", F.substring("needle", 1, 3))
-    low = F.lower("path")
-    p = f.select(F.col("file_id").alias("dst"), low.alias("low")).select("dst", "low", F.explode(F.array_distinct(F.concat(_grams(F.col("low"), 1), _grams(F.col("low"), 2), _grams(F.col("low"), 3)))).alias("gram"))
-    return keyed.join(p, "gram").filter(F.contains("low", F.col("needle"))).select("import", "dst").distinct()
+    return names.select("*", F.explode(both).alias("needle")).filter("needle <> ''")
+
+
+def _hits(needles, f):
+    """(needle, dst): files whose lower-case path contains a needle.
+
+    Of a needle's trigrams the one in the fewest paths is looked up, a shorter needle as a whole. Letters that
+    no needle is looked up by stay out of the join, by 65,536 places of their hashes.
+    """
+    needles = needles.select("needle").distinct()
+    low = F.col("low")
+    paths_ = cut(f.select(F.col("file_id").alias("dst"), F.lower("path").alias("low")))
+    p = paths_.select("dst", "low", F.explode(F.array_distinct(F.concat(_grams(low, 1), _grams(low, 2), _grams(low, 3)))).alias("gram"))
+    of = needles.select("needle", F.explode(_grams(F.col("needle"), 3)).alias("gram"))
+    keyed = of.join(p.groupBy("gram").agg(F.count("*").alias("n")), "gram", "left").groupBy("needle").agg(F.min_by("gram", F.struct(F.coalesce("n", F.lit(0)), "gram")).alias("gram"))
+    keyed = cut(keyed)
+    place = F.pmod(F.xxhash64("gram"), F.lit(65_536))
+    p = p.withColumn("place", place).join(F.broadcast(keyed.select(place.alias("place")).distinct()), "place", "left_semi").drop("place")
+    return keyed.join(p, "gram").filter(F.contains("low", F.col("needle"))).select("needle", "dst")
+
+
+def _substring_matches(names, f):
+    """(import, dst): files whose lower-case path contains the last part or the joined path of a name."""
+    needles = _needles(names.select("import"))
+    return needles.join(_hits(needles, f), "needle").select("import", "dst").distinct()
 
 
 def _first_five(found, f, k: int = 5):
@@ -73,9 +93,38 @@ def _first_five(found, f, k: int = 5):
 
 @query(f"""WITH {IMPORTS_SQL}, f AS ({FILES_SQL}) SELECT DISTINCT src, f.file_id AS dst FROM imports JOIN f ON f.file_id <> src AND (contains(lower(f.path), lower({_LAST})) OR contains(lower(f.path), lower(regexp_replace(import, '[.:]+', '/', 'g'))))""")
 def c2_import_matches(spark, d):
-    """Every pair of a file and a file that one of its imports matches by substring."""
-    found = imports(spark, d)
-    return found.join(_substring_matches(found.select("import").distinct(), files(spark, d)), "import").filter("src <> dst").select("src", "dst").distinct()
+    """Every pair of a file and a file that one of its imports matches by substring. The pairs grow as the square of the table."""
+    return _matched_pairs(imports(spark, d), files(spark, d))
+
+
+#: Pairs that a task of the join and a part of a needle should make, files in a row, and the most parts of a needle.
+_TASK_PAIRS, _PART_PAIRS, _ROW_FILES, _PARTS = 50_000_000, 16_000_000, 4096, 64
+
+
+def _matched_pairs(found, f):
+    """(src, dst) once for each file and other file that one of its needles hits; no pair is written or shuffled.
+
+    Files that the same needles hit are one row with their list. A pair comes from the first needle that
+    both sides share, so the list is left out where an earlier needle of the source hits those files too.
+    """
+    spark = found.sparkSession
+    needles = cut(_needles(found).select("src", "needle").distinct())
+    hits = cut(_hits(needles, f))
+    ids = cut(hits.select("needle").distinct().withColumn("id", F.monotonically_increasing_id()))
+    mine = needles.join(ids, "needle").groupBy("src").agg(F.array_sort(F.collect_list("id")).alias("mine"))
+    mine = cut(mine.select("src", F.posexplode("mine").alias("k", "id"), "mine").select("src", "id", F.slice("mine", F.lit(1), F.col("k")).alias("before")))
+    like = cut(hits.join(ids, "needle").groupBy("dst").agg(F.array_sort(F.collect_list("id")).alias("all")))
+    rows = like.groupBy("all").agg(F.ceil(F.count("*") / _ROW_FILES).alias("rows"))
+    files_ = like.join(rows, "all").groupBy("all", F.pmod(F.xxhash64("dst"), "rows").alias("row")).agg(F.array_sort(F.collect_list("dst")).alias("dsts"))
+    files_ = cut(files_.select("dsts", F.posexplode("all").alias("k", "id"), "all").select("id", F.slice("all", F.lit(1), F.col("k")).alias("earlier"), "dsts"))
+    n = mine.groupBy("id").agg(F.count("*").alias("srcs")).join(files_.groupBy("id").agg(F.sum(F.size("dsts")).alias("files")), "id").withColumn("pairs", F.col("srcs") * F.col("files"))
+    n = cut(n.select("id", "pairs", F.least(F.ceil(F.col("pairs") / _PART_PAIRS), F.lit(_PARTS)).alias("parts")))
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), min(20_000, (n.agg(F.sum("pairs")).first()[0] or 0) // _TASK_PAIRS))
+    n = n.drop("pairs")
+    left = mine.join(n, "id").withColumn("part", F.pmod(F.xxhash64("src"), "parts")).drop("parts").repartition(tasks, "id", "part")
+    right = files_.join(n, "id").withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1))).drop("parts").repartition(tasks, "id", "part")
+    both = left.join(right, ["id", "part"]).filter(~F.arrays_overlap("before", "earlier"))
+    return both.select("src", F.explode("dsts").alias("dst")).filter("src <> dst")
 
 
 _PATH = "regexp_replace(lower(path), '^\\./', '')"

@@ -12,7 +12,7 @@ from hewn import plugins
 from hewn.operators import graph, neighbours, select, stats
 from hewn.plans import kernels
 from hewn.plans.catalog import ORACLE_SQL
-from hewn.plans.linking import _first_five, _substring_matches
+from hewn.plans.linking import _first_five, _substring_matches, c2_import_matches
 from hewn.session import ensure_checkpoint_dir, setting
 from hewn.sources import files
 
@@ -154,3 +154,27 @@ def test_reallocation_keeps_no_pairs_of_runs_and_chunks(spark, tmp_path):
     got = sorted(tuple(r[c] for c in ("run_id", "strategy", "added", "tokens")) for r in kernels.j21_reallocation(spark, str(tmp_path)).collect())
     assert got == sorted(duck.execute(ORACLE_SQL["j21_reallocation"]).fetchall()) and len(got) > 300
     assert _size(folder) - before < 1_500_000
+
+
+def test_import_matches_are_not_shuffled_as_pairs(spark, tmp_path):
+    """240 files that import two names each, over 720 paths that mostly hold both: equal to the SQL, and fewer rows are shuffled than there are pairs."""
+    words = ["core", "index", "a", "os", "zz"]
+    path = lambda i: None if i == 5 else f"Src/{words[i % 5]}/{words[i % 4]}_{i}.py"
+    rows = [(3 * i + k, i, path(i), "Import" if k < 2 and i % 3 == 0 else "function", f"import {words[(i + k) % 4]}\nfrom src.{words[i % 5]} import x" if i != 9 else None) for i in range(720) for k in range(3)]
+    spark.createDataFrame(rows, "row_id long, file_id long, rel_path string, kind string, content string").withColumn("repo_name", F.lit("r")).withColumn("end_line", F.lit(1)).withColumn("full_tokens", F.lit(1)).write.parquet(str(tmp_path / "chunks.parquet"))
+    duck = duckdb.connect()
+    duck.execute(f"create view chunks as select * from '{tmp_path}/chunks.parquet/*.parquet'")
+    want = sorted(duck.execute(ORACLE_SQL["c2_import_matches"]).fetchall())
+    jvm = spark._jvm
+    store, none = spark.sparkContext._jsc.sc().statusStore(), spark.sparkContext._gateway.new_array(jvm.double, 0)
+
+    def ran():
+        spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+        stages = store.stageList(jvm.java.util.ArrayList(), False, False, none, jvm.java.util.ArrayList())
+        return {s.stageId(): s.shuffleWriteRecords() for s in map(stages.apply, range(stages.size()))}
+
+    before = set(ran())
+    with setting(spark, "spark.sql.adaptive.coalescePartitions.enabled", "false"), setting(spark, "spark.sql.autoBroadcastJoinThreshold", "-1"):  # as with large tables
+        got = sorted(tuple(r[c] for c in ("src", "dst")) for r in c2_import_matches(spark, str(tmp_path)).collect())
+    assert got == want and len(want) > 80_000
+    assert sum(n for i, n in ran().items() if i not in before) < len(want) / 2
