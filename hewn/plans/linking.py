@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from hewn.functions import paths, text
-from hewn.operators.neighbours import nearest
+from hewn.operators.neighbours import densest, within
 from hewn.plans.analysis import EDGES_SQL, _graph
 from hewn.plans.kernels import _CLUSTERS, VECTORS_SQL, clusters, mean_vector, unit_vectors
 from hewn.plans.registry import query
@@ -277,8 +277,7 @@ def medoids(every, near: int = 10):
     v, t = every.select("chunk_id", "u"), cut(_tail(every))
     k = max(1, int(math.sqrt(v.count()) / 2))
     vec = lambda df: df.select(F.col("chunk_id").alias("id"), F.col("u").alias("vec"))
-    dens = nearest(vec(t), vec(v), near).groupBy(F.col("id").alias("chunk_id")).agg(F.round(1 / (1 + F.avg(1 - F.col("sim"))), 6).alias("density"))
-    return dens.orderBy(F.desc("density"), "chunk_id").limit(k).join(t, "chunk_id").select(F.col("chunk_id").alias("medoid"), "density", "u")
+    return densest(vec(t), vec(v), near, k).withColumnRenamed("id", "chunk_id").join(t, "chunk_id").select(F.col("chunk_id").alias("medoid"), "density", "u")
 
 
 @query(f"WITH {_TAIL}, mem AS (SELECT medoid, count(*) AS members FROM med JOIN v m ON m.chunk_id = medoid JOIN v ON list_dot_product(m.u, v.u) >= 0.2 GROUP BY 1) SELECT medoid, density, members FROM med JOIN mem USING (medoid)")
@@ -288,10 +287,9 @@ def k4_medoids(spark, d):
 
 
 def _medoid_members(k):
-    m = medoids(k)
-    v = k.select("chunk_id", F.col("u").alias("w"))
-    mem = F.broadcast(m).join(v, text.cosine(F.col("u"), F.col("w")) >= 0.2).groupBy("medoid", "density").agg(F.count("*").alias("members"))
-    return mem.select("medoid", "density", "members")
+    m = cut(medoids(k))
+    mem = within(m.select(F.col("medoid").alias("id"), F.col("u").alias("vec")), k.select(F.col("u").alias("vec")), 0.2)
+    return m.join(mem, F.col("medoid") == F.col("id")).select("medoid", "density", "members")
 
 
 @query(f"""WITH {_TAIL}, n AS (SELECT (SELECT count(*) FROM tail) >= 0.1 * (SELECT count(*) FROM v) AS mixed)

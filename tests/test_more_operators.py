@@ -178,3 +178,27 @@ def test_import_matches_are_not_shuffled_as_pairs(spark, tmp_path):
         got = sorted(tuple(r[c] for c in ("src", "dst")) for r in c2_import_matches(spark, str(tmp_path)).collect())
     assert got == want and len(want) > 80_000
     assert sum(n for i, n in ran().items() if i not in before) < len(want) / 2
+
+
+def _unit_rows(n: int, seed: int):
+    rng = np.random.default_rng(seed)
+    x = rng.normal(size=(8, 12))[rng.integers(0, 8, n)] + rng.normal(size=(n, 12)) * 0.9
+    x[5:9] = x[4]  # the same vector five times
+    x[20:40] = x[300:320] + rng.normal(size=(20, 12)) * 0.01
+    return x / np.linalg.norm(x, axis=1, keepdims=True)
+
+
+@pytest.mark.parametrize(("asked", "k", "block"), [(900, 15, 32_768), (900, 15, 200), (900, 600, 400), (40, 15, 32_768)])
+def test_densest_equals_brute_force(spark, asked, k, block):
+    """Also where nearly all or only few of the queries are wanted, and over several blocks of them."""
+    x = _unit_rows(1000, 6)
+    df = spark.createDataFrame([(f"v{i:04d}", [float(v) for v in u]) for i, u in enumerate(x)], "id string, vec array<double>")
+    sims = np.round(x[:asked] @ x.T, 6)
+    sims[np.arange(asked), np.arange(asked)] = -9
+    dens = np.round(1 / (1 + (1 - np.sort(sims, 1)[:, -10:]).mean(1)), 6)
+    want = [(f"v{i:04d}", dens[i]) for i in sorted(range(asked), key=lambda i: (-dens[i], i))[:k]]
+    got = [tuple(r) for r in neighbours.densest(df.filter(f"id < 'v{asked:04d}'"), df, 10, k, block).orderBy(F.desc("density"), "id").collect()]
+    assert got == want
+    members = {r.id: r.members for r in neighbours.within(df.limit(7), df, 0.2).collect()}
+    assert members == {f"v{i:04d}": int((x @ x[i] >= 0.2).sum()) for i in range(7)}
+    assert neighbours.densest(df.limit(0), df, 10, k).count() == 0 and neighbours.within(df.limit(0), df, 0.2).count() == 0
