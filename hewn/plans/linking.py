@@ -272,9 +272,9 @@ def _tail(k, least: float = 0.5):
     return j.withColumn("cover", F.round(text.cosine(F.col("u"), F.col("p2")), 6)).filter(F.col("cover") < least).select("chunk_id", "u")
 
 
-def medoids(every, near: int = 10):
+def medoids(every, near: int = 10, tail=None):
     """(medoid, density, u) of the clustered vectors ``every``: the densest tail vectors, by the mean distance to their ten nearest; half the root of the number of vectors. Tail vectors are the stated queries against all."""
-    v, t = every.select("chunk_id", "u"), cut(_tail(every))
+    v, t = every.select("chunk_id", "u"), cut(_tail(every)) if tail is None else tail
     k = max(1, int(math.sqrt(v.count()) / 2))
     vec = lambda df: df.select(F.col("chunk_id").alias("id"), F.col("u").alias("vec"))
     return densest(vec(t), vec(v), near, k).withColumnRenamed("id", "chunk_id").join(t, "chunk_id").select(F.col("chunk_id").alias("medoid"), "density", "u")
@@ -286,8 +286,8 @@ def k4_medoids(spark, d):
     return _medoid_members(cut(clusters(spark, d)))
 
 
-def _medoid_members(k):
-    m = cut(medoids(k))
+def _medoid_members(k, tail=None):
+    m = cut(medoids(k, tail=tail))
     mem = within(m.select(F.col("medoid").alias("id"), F.col("u").alias("vec")), k.select(F.col("u").alias("vec")), 0.2)
     return m.join(mem, F.col("medoid") == F.col("id")).select("medoid", "density", "members")
 
@@ -298,8 +298,10 @@ def k5_mixed_centroids(spark, d):
     """Cluster means, and medoids beside them where a tenth of the vectors or more is in the tail."""
     k = cut(clusters(spark, d))
     means = k.groupBy(F.col("cluster").alias("name")).agg(F.count("*").alias("members")).select(F.lit("kmeans").alias("source"), "name", "members")
-    t = _tail(k).agg(F.count("*").alias("t")).crossJoin(k.agg(F.count("*").alias("v"))).filter("t >= 0.1 * v").select(F.lit(1).alias("one"))
-    return means.unionByName(_medoid_members(k).join(t).select(F.lit("medoid").alias("source"), F.col("medoid").alias("name"), "members"))
+    t = cut(_tail(k))
+    if t.count() < 0.1 * k.count() or k.isEmpty():
+        return means
+    return means.unionByName(_medoid_members(k, t).select(F.lit("medoid").alias("source"), F.col("medoid").alias("name"), "members"))
 
 
 @query(f"""WITH {VECTORS_SQL}, c AS (SELECT id, min(repo_name) AS repo_name FROM chunks WHERE id IS NOT NULL GROUP BY 1), p AS (SELECT chunk_id, repo_name, u FROM v JOIN c ON c.id = v.chunk_id WHERE repo_name IS NOT NULL), r AS (SELECT repo_name, arg_min(u, chunk_id) AS q FROM p GROUP BY 1)

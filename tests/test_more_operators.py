@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from hewn import plugins
 from hewn.operators import graph, neighbours, select, stats
-from hewn.plans import kernels
+from hewn.plans import kernels, linking
 from hewn.plans.catalog import ORACLE_SQL
 from hewn.plans.linking import _first_five, _substring_matches, c2_import_matches
 from hewn.session import ensure_checkpoint_dir, setting
@@ -202,3 +202,13 @@ def test_densest_equals_brute_force(spark, asked, k, block):
     members = {r.id: r.members for r in neighbours.within(df.limit(7), df, 0.2).collect()}
     assert members == {f"v{i:04d}": int((x @ x[i] >= 0.2).sum()) for i in range(7)}
     assert neighbours.densest(df.limit(0), df, 10, k).count() == 0 and neighbours.within(df.limit(0), df, 0.2).count() == 0
+
+
+def test_mixed_centroids_make_the_tail_once(spark, monkeypatch):
+    """Tail vectors are found once for their share and the medoids; without enough of them no medoid is made."""
+    d, calls, tail = "/root/testdata/sf0.001", [], linking._tail
+    monkeypatch.setattr(linking, "_tail", lambda k, *a: calls.append(1) or tail(k, *a))
+    assert {r.source for r in linking.k5_mixed_centroids(spark, d).collect()} == {"kmeans", "medoid"} and len(calls) == 1
+    monkeypatch.setattr(linking, "_tail", lambda k: tail(k).limit(1))
+    monkeypatch.setattr(linking, "_medoid_members", None)
+    assert {r.source for r in linking.k5_mixed_centroids(spark, d).collect()} == {"kmeans"}
